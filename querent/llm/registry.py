@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from querent.llm import chat_format, exact_dedup, topk_search
+from querent.llm import chat_format, exact_dedup, hilbert_shards, packing, simhash, topk_search
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op2_hilbert_shards": hilbert_shards.op2_hilbert_shards,
+        "op5_packing": packing.op5_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_simhash": simhash.op7_simhash,
         "op9_topk_search": topk_search.op9_topk_search,
     }
 
