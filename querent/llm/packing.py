@@ -21,20 +21,25 @@ each.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.shared import pick, written
+from querent.llm.shared import FOLD, pick, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, ordinal long"
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("task", pa.int32()), ("ordinal", pa.int64())]
 )
+#: Closing marks that are looked up apart from the word before, and what may stand before.
+MARKS = (b",", b".")
+LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 END = (1).to_bytes(4, "little")
 
 
@@ -48,38 +53,55 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class WordTokens:
     """Token ids of texts as little-endian 32-bit bytes, one word at a time.
 
-    most bounds the words held; beyond it the table starts anew.
+    most bounds the words held; beyond it the table starts anew, and words still
+    in use move over from the table before.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        # A letter and one closing mark: the vocabulary cuts between them as well.
+        marked = [w for w in words if w[-1] in b",." and w[-2:-1] in LETTERS and len(w) > 1]
+        plain = list(words.difference(marked).union({w[:-1] for w in marked}, MARKS).difference(self.known))
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update(zip(part, [_packed(e.ids) for e in found], strict=True))
+        known = self.known
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in marked])
 
     def encode(self, text: bytes) -> bytes:
-        # bytes.split() cuts at ASCII white space only, all of which the vocabulary drops.
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(dict.fromkeys(words))
-        self._learn(new)
+        # bytes.split() cuts at ASCII white space only, all of which the vocabulary drops;
+        # it lower-cases as well, so A-Z may be folded first.
+        words = text.translate(FOLD).split()
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.known, self.older = {}, self.known
+                new = set(words)
+            again = new.intersection(self.older)
+            self.known.update([(w, self.older[w]) for w in again])
+            self._learn(new.difference(again))
         return b"".join(map(self.known.__getitem__, words))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """One table a Python worker, kept for its later tasks."""
+    return WordTokens(path)
+
+
 def binary_lengths(n: int, limit: int) -> list[int]:
     """n as powers of two, longest first, none over limit (itself a power of two)."""
     rest = n % limit
@@ -93,7 +115,7 @@ def _pieces(limit: int, path):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, task, seen = WordTokens(path or vocabulary()), TaskContext.get().partitionId(), Counter()
+        tokens, task, seen = word_tokens(path or vocabulary()), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []

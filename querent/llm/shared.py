@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z only.
@@ -54,3 +55,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     places = [df.columns.index(n) for n in names]
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.select(*[plain[f"c{p}"].alias(n) for p, n in zip(places, names, strict=True)])
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column added, evaluated once a row.
+
+    Adjacent projections are merged, and an expression that a later lambda
+    mentions would then be evaluated once for each element. A generator of one
+    element is a boundary that they aren't merged across.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
