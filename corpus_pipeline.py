@@ -1,8 +1,74 @@
-"""Stand-in until every stage exists."""
+"""From raw documents to packed training sequences, a stage at a time.
 
+Each stage reads what its predecessor kept, decides by its operator and hands
+on the columns of ``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querent.llm import language_id, line_dedup, mixing, packing, simhash
+from querent.llm.shared import pick, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents whose language is less sure than this are rejected, as are those without letters.
+LEAST_SCORE = 0.3
+
+#: Language identification, near-duplicates, mixing and packing have no SQL form.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that have a language."""
+    model = language_id.learn(language_id.training_sample(docs, language_id.bucket(F.col("doc_id")) != 1))
+    found = language_id.identify(docs, model, COLUMNS)
+    return found.where((F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops each source's boilerplate lines; every document stays."""
+    found = line_dedup.drop_boilerplate(pick(docs, *COLUMNS), F.col("source"), F.col("text"))
+    return found.select("doc_id", F.col("_text").alias("text"), "lang", "source", F.length("_text").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the smallest doc_id of each group of near-duplicates."""
+    found = written(simhash.near_duplicates(docs), "near")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    groups = written(found.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).select("root", F.col("first.row").alias("kept")), "near-groups")
+    gone = found.join(groups, "root").where(F.col("row") != F.col("kept")).select(F.col("row").alias("_row"))
+    # A row's number is its place in the files read, the same here as where fingerprints were made.
+    return pick(docs, *COLUMNS).withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents at their fitted rates; those of unwanted domains go.
+
+    Rounding never drops a document that is wanted at a rate of a half or more.
+    """
+    mixed = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS)
+    copies = F.when(F.col("_rate") >= 0.5, F.greatest("_copies", F.lit(1))).otherwise(F.col("_copies"))
+    return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of power-of-two lengths."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("mixing", mixture),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
