@@ -16,6 +16,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less sure than this are rejected, as are those without letters.
 LEAST_SCORE = 0.3
 
+#: Posterior from which a document's toxicity counts as sure.
+SURELY = 0.8
+
 #: Language identification, near-duplicates, mixing and packing have no SQL form.
 ORACLE_SQL = None
 
@@ -44,12 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents at their fitted rates; those of unwanted domains go.
+    """Repeats documents at their fitted rates; those that are surely toxic go with theirs.
 
-    Rounding never drops a document that is wanted at a rate of a half or more.
+    Any other document stays at least once, so no clean one is lost to rounding.
     """
     mixed = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS)
-    copies = F.when(F.col("_rate") >= 0.5, F.greatest("_copies", F.lit(1))).otherwise(F.col("_copies"))
+    copies = F.when(F.col("p_toxic") < SURELY, F.greatest("_copies", F.lit(1))).otherwise(F.col("_copies"))
     return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select(*COLUMNS)
 
 

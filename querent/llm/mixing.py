@@ -1,9 +1,10 @@
 """Mixing to target weights with soft domain membership, on DataFrame functions only.
 
 1. A classifier is fitted on the labelled table: from a bounded sample
-   (``max_rows`` labelled documents in hash order) the ``max_features`` tokens
-   with the highest mutual information with the domain, and a Bernoulli model
-   over their presence. Tokens are words and a few traits of the whole text.
+   (``max_rows`` labelled documents in hash order): the ``max_features`` tokens
+   with the highest mutual information with the domain, and a softmax
+   regression over their presence, whose few weights are found on the driver.
+   Tokens are words, their stems and a few traits of the whole text.
 2. One pass scores every whole document and writes its token count T_d and
    domain posteriors p_d.
 3. Nonnegative rates r_d are fitted by distributed projected-gradient least
@@ -27,8 +28,6 @@ domains are equally likely; documents with the same id draw alike.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +36,13 @@ from querent.llm.shared import once, pick, written
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.8, "low": 0.2, "toxic": 0.0}
 MAX_ROWS = 8192
-MAX_FEATURES = 128
+MAX_FEATURES = 256
 SEED = 11
-MAX_STEPS = 60
+#: Letters of a word that count as its stem.
+STEM = 4
+MAX_STEPS = 30
+#: Residual, as a share of the token budget, at which rates are taken to fit.
+NEAR = 1e-4
 #: A document whose text is this much made of symbols, capitals or repeated words has the trait.
 TRAITS = {"<symbols>": 0.03, "<capitals>": 0.3, "<repeats>": 0.5}
 
@@ -52,6 +55,11 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,;:?!\"()]+"), "")
 
 
+def _stems(words: Column) -> Column:
+    """Words by their first letters, which inflected and compound forms share; marked by a dash."""
+    return F.transform(words, lambda w: F.concat(F.substring(w, 1, STEM), F.lit("-")))
+
+
 def _traits(text: Column, words: Column) -> Column:
     """The names of the traits that the text has."""
     text = F.coalesce(text, F.lit(""))
@@ -66,14 +74,14 @@ def _traits(text: Column, words: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> dict:
-    """{"prior": [log odds by domain], "weights": {token: [weight by domain]}}."""
+    """{"prior": [weight by domain], "weights": {token: [weight by domain]}}."""
     known = pick(labels, "doc_id", "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), _domain().alias("domain"))
     # At most max_rows pairs of an id and a word: a proven bound for the broadcast.
     rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["id"]).select("domain", "text")
     rows = once(rows, "w", _words(F.col("text")))
-    rows = written(rows.select("domain", F.array_distinct(F.concat("w", _traits(F.col("text"), F.col("w")))).alias("tokens")), "sample")
+    rows = written(rows.select("domain", F.array_distinct(F.concat("w", _stems(F.col("w")), _traits(F.col("text"), F.col("w")))).alias("tokens")), "sample")
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").agg(F.count("*")).collect()}
     total = sum(sizes.values())
     if not total:
@@ -87,15 +95,48 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
         if size:
             for c, m in ((F.col(d), held), (size - F.col(d), total - held)):
                 gain = gain + F.when(c > 0, c * F.log(c * float(total) / (m * float(size)))).otherwise(0.0)
-    best = counts.where(held >= min(5, total)).orderBy(F.desc(F.round(gain, 6)), "token").limit(max_features).collect()
-    share = lambda c, size: (c + 0.5) / (size + 1.0)
-    prior = [math.log(share(size, total)) for size in n]
-    weights = {}
-    for r in best:
-        p = [share(r[d], size) for d, size in zip(DOMAINS, n, strict=True)]
-        weights[r["token"]] = [math.log(x / (1 - x)) for x in p]
-        prior = [a + math.log(1 - x) for a, x in zip(prior, p, strict=True)]
-    return {"prior": prior, "weights": weights}
+    best = counts.where(held >= min(5, total)).orderBy(F.desc(F.round(gain, 6)), "token").limit(max_features).select("token").collect()
+    names = [r[0] for r in best]
+    # At most max_rows rows of at most max_features places.
+    table = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    seen = rows.select("domain", F.transform(F.array_intersect("tokens", table), lambda t: F.array_position(table, t)).alias("at")).collect()
+    return softmax_fit([DOMAINS.index(r["domain"]) for r in seen], [list(r["at"]) for r in seen], names)
+
+
+def softmax_fit(domains: list[int], features: list[list[int]], names: list[str], steps: int = 25, decay: float = 1e-4) -> dict:
+    """Multinomial logistic regression over token presence, by damped Newton steps."""
+    import numpy as np
+
+    n, k = len(domains), len(DOMAINS)
+    x = np.zeros((n, len(names) + 1))
+    x[:, 0] = 1.0
+    for row, own in enumerate(features):
+        x[row, [int(i) for i in own]] = 1.0
+    y, d = np.eye(k)[domains], len(names) + 1
+    w = np.zeros((k, d))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        odds = x @ w.T
+        odds -= odds.max(axis=1, keepdims=True)
+        p = np.exp(odds)
+        norm = p.sum(axis=1, keepdims=True)
+        return float((np.log(norm[:, 0]) - (odds * y).sum(axis=1)).mean() + decay / 2 * (w * w).sum()), p / norm
+
+    now, p = loss(w)
+    for _ in range(steps):
+        slope = (p - y).T @ x / n + decay * w
+        curve = decay * np.eye(k * d)
+        for i in range(k):
+            for j in range(k):
+                weight = p[:, i] * ((i == j) - p[:, j])
+                curve[i * d : (i + 1) * d, j * d : (j + 1) * d] += (x * weight[:, None]).T @ x / n
+        step, size = np.linalg.solve(curve, slope.ravel()).reshape(k, d), 1.0
+        while size > 1e-4 and loss(w - size * step)[0] > now:
+            size /= 2
+        before, (now, p), w = now, loss(w - size * step), w - size * step
+        if before - now < 1e-9:
+            break
+    return {"prior": w[:, 0].tolist(), "weights": dict(zip(names, w[:, 1:].T.tolist(), strict=True))}
 
 
 def posteriors(docs: DataFrame, model: dict) -> DataFrame:
@@ -105,7 +146,8 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     if model["weights"]:
         table = F.create_map(*[x for t, w in model["weights"].items() for x in (F.lit(t), F.array(*[F.lit(float(v)) for v in w]))])
         names = F.array(*[F.lit(t) for t in model["weights"]])
-        found = F.array_union(F.array_intersect("_words", names), F.array_intersect(_traits(F.col("text"), F.col("_words")), names))
+        own = (F.col("_words"), _stems(F.col("_words")), _traits(F.col("text"), F.col("_words")))
+        found = F.array_distinct(F.concat(*[F.array_intersect(x, names) for x in own]))
         score = F.aggregate(found, zero, lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda a, b: a + b))
     else:
         score = zero
@@ -142,12 +184,12 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float | None
     taken = 0
     for taken in range(1, steps + 1):
         residual = np.array(totals) - np.array(goal)
-        if np.abs(residual).max() <= 1e-9 * max(budget, 1.0):
+        if np.abs(residual).max() <= NEAR * max(budget, 1.0):
             break
         step = [float(x) for x in inverse @ residual]
         rate = F.greatest(F.lit(0.0), rate - sum((F.lit(s) * c for s, c in zip(step, p, strict=True)), F.lit(0.0)))
         before, totals = totals, _totals(scored, rate)
-        if np.abs(np.array(before) - np.array(totals)).max() <= 1e-9 * max(budget, 1.0):
+        if np.abs(np.array(before) - np.array(totals)).max() <= NEAR / 100 * max(budget, 1.0):
             break  # no nonnegative rates come closer
     return rate, {"targets": dict(zip(DOMAINS, goal, strict=True)), "totals": dict(zip(DOMAINS, totals, strict=True)), "steps": taken}
 
