@@ -86,7 +86,8 @@ class WordTokens:
             if len(self.known) + len(new) > self.most:
                 self.known, self.older = {}, self.known
                 new = set(words)
-            again = new.intersection(self.older)
+            # set.intersection() would walk the whole table, not the few new words.
+            again = [w for w in new if w in self.older]
             self.known.update([(w, self.older[w]) for w in again])
             self._learn(new.difference(again))
         return b"".join(map(self.known.__getitem__, words))
