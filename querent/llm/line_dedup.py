@@ -43,9 +43,9 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit(1), own).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """site, keys of the lines to drop; pages has the columns site and text."""
-    totals = pages.groupBy("site").agg(F.count("*").alias("pages"))
+def boilerplate(pages: DataFrame, sites: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """site, keys of the lines to drop; pages has the columns site and text, sites the site of every page."""
+    totals = sites.groupBy("site").agg(F.count("*").alias("pages"))
     spoken = F.filter(_lines(F.col("text")), lambda x: _trimmed(x) != "")
     seen = pages.select("site", F.explode(F.array_distinct(F.transform(spoken, _key))).alias("key"))
     counts = seen.groupBy("site", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -56,7 +56,8 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 def drop_boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with the columns _text (without boilerplate), _lines and _dropped added."""
     base = once(once(pages, "_site", site), "_raw", text)
-    found = boilerplate(base.select(F.col("_site").alias("site"), F.col("_raw").alias("text")), ratio, min_pages)
+    # Page totals come from a frame without the texts, which a generator would keep from being pruned.
+    found = boilerplate(base.select(F.col("_site").alias("site"), F.col("_raw").alias("text")), pages.select(site.alias("site")), ratio, min_pages)
     found = found.select(F.col("site").alias("_of"), F.col("keys").alias("_keys"))
     joined = base.join(found, F.col("_site").eqNullSafe(F.col("_of")), "left")
     lines = _lines(F.col("_raw"))
