@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions.expr import FLAT, Record, Ref, Scope, as_record
@@ -29,6 +29,12 @@ from querent.operators.relation import Query, Relation, as_relation
 from querent.sources.database import Database, _flat
 
 
+def _counted(rows: DataFrame, hit: Column) -> tuple[DataFrame, Callable[[], int]]:
+    """rows, and how many of them were hit once they have been written: one pass for both."""
+    seen = Observation()
+    return rows.observe(seen, F.count_if(hit).alias("n")), lambda: int(seen.get["n"])
+
+
 class Conflict(RuntimeError):
     """Another writer has committed the version first."""
 
@@ -174,10 +180,11 @@ class Transaction:
 
     def _append(self, name: str, rows: DataFrame) -> int:
         state = self._of(name)
+        rows, seen = _counted(rows, F.lit(True))
         folder = self._write(name, rows)
         self.state[name] = {**state, "data": [*state["data"], folder]}
         self.changed.add(name)
-        return self.store._frame({**state, "data": [folder]}).count()
+        return seen()
 
     def _replace(self, name: str, rows: DataFrame) -> None:
         folder = self._write(name, rows)
@@ -275,9 +282,9 @@ class Transaction:
             raise ValueError("nothing is set")
         rows = self._matched(df, own.query, scope)
         new = [F.when(F.col("hit"), own.terms[n].expr.build(scope)).otherwise(F.col(f"target_{n}")).alias(n) if n in own.terms else F.col(f"target_{n}").alias(n) for n in model.names()]
-        affected = rows.where("hit").count()
+        rows, affected = _counted(rows, F.col("hit"))
         self._replace(model.__table__, rows.select(*new))
-        return affected
+        return affected()
 
     def update_all_columns(self, model: type, record: Any, describe: Callable[[Assignments, Record], Any] | None = None, **params: Any) -> int:
         def whole(a: Assignments, row: Record) -> None:
@@ -297,9 +304,9 @@ class Transaction:
         new = self.store.spark.createDataFrame(values, model.schema()).select(*[F.col(n).alias(f"new_{n}") for n in model.names()], F.lit(True).alias("hit"))
         old = self.read(model.__table__)
         joined = old.join(new, [F.col(n) == F.col(f"new_{n}") for n in names], "left")
-        affected = joined.where("hit").count()
+        joined, affected = _counted(joined, F.col("hit"))
         self._replace(model.__table__, joined.select(*[F.col(n) if n in names else F.when(F.col("hit"), F.col(f"new_{n}")).otherwise(F.col(n)).alias(n) for n in model.names()]))
-        return affected
+        return affected()
 
     def delete(self, model: type, describe: Callable[[Assignments, Record], Any] | None = None, **params: Any) -> int:
         """Remove the rows for which the restrictions are TRUE; NULL keeps a row."""
@@ -308,9 +315,9 @@ class Transaction:
         if describe:
             describe(own, row)
         rows = self._matched(df, own.query, scope)
-        affected = rows.where("hit").count()
+        rows, affected = _counted(rows, F.col("hit"))
         self._replace(model.__table__, rows.where(~F.col("hit")).select(*[F.col(f"target_{n}").alias(n) for n in model.names()]))
-        return affected
+        return affected()
 
 
 __all__ = ["Assignments", "Conflict", "Relation", "Store", "Transaction"]

@@ -200,3 +200,12 @@ def test_relations_run_on_streams(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert [tuple(r) for r in spark.table("relations_on_streams").collect()] == [("B", "y")]
+
+
+def test_statements_on_empty_tables(spark, tmp_path):
+    own = Store(spark, str(tmp_path / "s"), database(spark))
+    own.create(SetB)
+    assert own.insert(SetB, []) == 0
+    assert own.insert_query(SetB, relation(lambda q: (lambda b: (q.wheres(value(False)), b)[1])(q.query(SetB)))) == 0
+    assert own.update(SetB, lambda a, r: a.assign("b2", "z")) == 0
+    assert own.delete(SetB) == 0 and own.key_update(SetB, [SetB(1, "a", "b")]) == 0
