@@ -6,7 +6,10 @@ beside it is what an independent engine runs for comparison.
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -900,10 +903,11 @@ _STOCK = "SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_regionkey > 0 THE
 
 
 def _stock(spark: SparkSession, sf_dir: str) -> Store:
-    """A store with the table stock in a folder of its own."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="querent-")
+    """A store with the table stock in a folder of its own, shared by all executors where there is such a folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="querent-")
+        atexit.register(shutil.rmtree, folder, True)
     db = Database(spark, sf_dir)
     store = Store(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}", db)
 

@@ -42,6 +42,11 @@ class Database:
             raise KeyError(f"no value for the parameters {sorted(missing)}")
         return rel.frame(Scope(self, values)).toDF(*(names or rel.names()))
 
+    def execute(self, text: str, **params: Any) -> DataFrame:
+        """Any SQL statement as it is; UPDATE, DELETE and MERGE need tables whose format supports them."""
+        self.expose()
+        return self.spark.sql(text, args=params or None)
+
     # fetching
     def prepare(self, rel: Any) -> Prepared:
         return Prepared(self, as_relation(rel))

@@ -209,3 +209,9 @@ def test_statements_on_empty_tables(spark, tmp_path):
     assert own.insert_query(SetB, relation(lambda q: (lambda b: (q.wheres(value(False)), b)[1])(q.query(SetB)))) == 0
     assert own.update(SetB, lambda a, r: a.assign("b2", "z")) == 0
     assert own.delete(SetB) == 0 and own.key_update(SetB, [SetB(1, "a", "b")]) == 0
+
+
+def test_raw_statements(spark, tmp_path):
+    db = database(spark)
+    db.execute("CREATE OR REPLACE TEMP VIEW raw_probe AS SELECT * FROM set_a")
+    assert db.execute("SELECT a1 FROM raw_probe WHERE a0 = :k", k=9).collect()[0][0] == "Q"
