@@ -40,7 +40,7 @@ MAX_FEATURES = 256
 SEED = 11
 #: Letters of a word that count as its stem.
 STEM = 4
-MAX_STEPS = 30
+MAX_STEPS = 24
 #: Residual, as a share of the token budget, at which rates are taken to fit.
 NEAR = 1e-4
 #: A document whose text is this much made of symbols, capitals or repeated words has the trait.
@@ -60,15 +60,15 @@ def _stems(words: Column) -> Column:
     return F.transform(words, lambda w: F.concat(F.substring(w, 1, STEM), F.lit("-")))
 
 
-def _traits(text: Column, words: Column) -> Column:
+def _traits(text: Column, words: Column, distinct: Column) -> Column:
     """The names of the traits that the text has."""
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / size
     has = {
         "<symbols>": share(r"[#$%&*|!]+") > TRAITS["<symbols>"],
-        "<capitals>": share(r"\p{Lu}+") > TRAITS["<capitals>"],
-        "<repeats>": (F.size(words) > 20) & (F.size(F.array_distinct(words)) < TRAITS["<repeats>"] * F.size(words)),
+        "<capitals>": share(r"[A-ZÀ-ÖØ-Þ]+") > TRAITS["<capitals>"],
+        "<repeats>": (F.size(words) > 20) & (F.size(distinct) < TRAITS["<repeats>"] * F.size(words)),
     }
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in has.items()]), lambda x: x.isNotNull())
 
@@ -80,8 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), _domain().alias("domain"))
     # At most max_rows pairs of an id and a word: a proven bound for the broadcast.
     rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["id"]).select("domain", "text")
-    rows = once(rows, "w", _words(F.col("text")))
-    rows = written(rows.select("domain", F.array_distinct(F.concat("w", _stems(F.col("w")), _traits(F.col("text"), F.col("w")))).alias("tokens")), "sample")
+    rows = once(once(rows, "w", _words(F.col("text"))), "d", F.array_distinct("w"))
+    rows = written(rows.select("domain", F.array_distinct(F.concat("d", _stems(F.col("d")), _traits(F.col("text"), F.col("w"), F.col("d")))).alias("tokens")), "sample")
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").agg(F.count("*")).collect()}
     total = sum(sizes.values())
     if not total:
@@ -134,7 +134,7 @@ def softmax_fit(domains: list[int], features: list[list[int]], names: list[str],
         while size > 1e-4 and loss(w - size * step)[0] > now:
             size /= 2
         before, (now, p), w = now, loss(w - size * step), w - size * step
-        if before - now < 1e-9:
+        if before - now < 1e-6:
             break
     return {"prior": w[:, 0].tolist(), "weights": dict(zip(names, w[:, 1:].T.tolist(), strict=True))}
 
@@ -142,11 +142,11 @@ def softmax_fit(domains: list[int], features: list[list[int]], names: list[str],
 def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     """docs with _tokens and one posterior column p_<domain> each."""
     zero = F.array(*[F.lit(float(x)) for x in model["prior"]])
-    out = once(docs, "_words", _words(F.col("text")))
+    out = once(once(docs, "_words", _words(F.col("text"))), "_distinct", F.array_distinct("_words"))
     if model["weights"]:
         table = F.create_map(*[x for t, w in model["weights"].items() for x in (F.lit(t), F.array(*[F.lit(float(v)) for v in w]))])
         names = F.array(*[F.lit(t) for t in model["weights"]])
-        own = (F.col("_words"), _stems(F.col("_words")), _traits(F.col("text"), F.col("_words")))
+        own = (F.col("_distinct"), _stems(F.col("_distinct")), _traits(F.col("text"), F.col("_words"), F.col("_distinct")))
         found = F.array_distinct(F.concat(*[F.array_intersect(x, names) for x in own]))
         score = F.aggregate(found, zero, lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda a, b: a + b))
     else:
@@ -155,7 +155,7 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     out = once(out.withColumn("_top", F.array_max("_score")), "_odds", F.transform("_score", lambda x: F.exp(x - F.col("_top"))))
     norm = sum((F.col("_odds")[i] for i in range(len(DOMAINS))), F.lit(0.0))
     out = out.withColumns({"_tokens": F.size("_words").cast("long"), **{f"p_{d}": F.col("_odds")[i] / norm for i, d in enumerate(DOMAINS)}})
-    return out.drop("_words", "_score", "_top", "_odds")
+    return out.drop("_words", "_distinct", "_score", "_top", "_odds")
 
 
 def _totals(scored: DataFrame, rate: Column) -> list[float]:
