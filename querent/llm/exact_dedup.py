@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.shared import FOLD, pick, written
+from querent.llm.shared import FOLD, texts, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -173,7 +173,7 @@ def exact_dedup(docs: DataFrame, max_entries: int = 1 << 17) -> DataFrame:
 
     max_entries bounds the live entries of a task's index, not the corpus.
     """
-    base = pick(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    base = texts(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     digests = written(base.mapInArrow(_digest, DIGESTS), "digests")
     partial = digests.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     partial = partial.mapInArrow(_fold(max_entries, False), GROUPS)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.shared import FOLD, pick, written
+from querent.llm.shared import FOLD, texts, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, ordinal long"
 _PIECES = pa.schema(
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, limit: int = 2048, path: str | None = None) -> DataFra
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
-    pieces = written(pick(docs, "doc_id", "text").mapInArrow(_pieces(limit, path), PIECES), "pieces")
+    pieces = written(texts(docs, "doc_id", "text").mapInArrow(_pieces(limit, path), PIECES), "pieces")
     # At most one row for each task and power of two.
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     order = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)

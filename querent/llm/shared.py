@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="querent-")
+        atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -34,10 +37,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     This cuts lineage: a lost executor costs the tasks it ran, never the
     stages before, and what was decided once (ids, positions) stays decided.
+    The table is deleted when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/querent/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,3 +71,20 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     element is a boundary that they aren't merged across.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+#: Rows of an Arrow batch that holds whole texts; Spark's own default is ten times as many.
+TEXT_BATCH = 1000
+
+
+def texts(df: DataFrame, *names: str) -> DataFrame:
+    """As :func:`pick`, for Python stages over whole texts: their Arrow batches are kept small.
+
+    A batch is buffered on both sides of the worker's pipe, so its size times
+    the length of a text bounds memory. A session that has set its own batch
+    size keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    return pick(df, *names)

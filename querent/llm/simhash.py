@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.components import components
-from querent.llm.shared import FOLD, pick, written
+from querent.llm.shared import FOLD, texts, written
 
 BUDGET = 2
 SEED = 42
@@ -68,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (as a signed long), row (its place in the input) for every row."""
-    return pick(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(_fingerprints, PRINTS)
+    return texts(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(_fingerprints, PRINTS)
 
 
 def _join_nodes(a: np.ndarray, b: np.ndarray | None, level: int, errors: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
