@@ -910,6 +910,8 @@ def _stock(spark: SparkSession, sf_dir: str) -> Store:
         atexit.register(shutil.rmtree, folder, True)
     db = Database(spark, sf_dir)
     store = Store(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}", db)
+    root = spark._jvm.org.apache.hadoop.fs.Path(store.root)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
 
     @relation
     def rows(q):
