@@ -36,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.shared import pick
+from querent.llm.shared import pick, texts
 
 PER_LANG = 250
 MOST_CHARS = 20_000
 SPANS = 900
+SLICES = 64
 TABLE = 1 << 15
 CORE, CONTEXT = 128, 12
 SEED = 5
@@ -262,9 +263,12 @@ def training_sample(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG
     """(lang, text) of at most per_lang documents a language."""
     table = pick(docs, "doc_id", "lang", "text").where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     fits = table.where(F.length("text") <= most_chars)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = fits.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).distinct()
-    ids = [r[0] for r in chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").collect()]
+    # The first of each of a language's slices, then of those: no task gets a language's rows, however many tasks read them.
+    for keys in (["lang", F.pmod("h", F.lit(SLICES))], ["lang"]):
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        chosen = chosen.withColumn("n", first).where(F.col("n") <= per_lang).drop("n")
+    ids = [r[0] for r in chosen.select("doc_id").collect()]
     rows = fits.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")) if ids else fits.limit(0)
     return [(r.lang, r.text) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.lang))]
 
@@ -274,10 +278,11 @@ PREDICTED = "row long, lang_pred string, score double"
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at_text = model.value, None
+        own = model.value
         table = WordTable(own) if own else None
         for batch in batches:
-            at_text = batch.schema.get_field_index("_text")
+            # A kept text crosses the pipe once; else it comes along as _text and is left out.
+            at_text = batch.schema.get_field_index("_text" if "_text" in batch.schema.names else "text")
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 docs = [words_of(t) for t in part.column(at_text).to_pylist()]
@@ -287,8 +292,8 @@ def _predict(model):
                     for i, m in enumerate(mass):
                         if len(docs[i]):
                             labels[i], scores[i] = own.labels[int(m.argmax())], min(1.0, float(m.max() / m.sum()))
-                kept = [part.column(i) for i in range(part.num_columns) if i != at_text]
                 names = [n for n in part.schema.names if n != "_text"]
+                kept = [part.column(part.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "_lang_pred", "_score"])
 
     return run
@@ -298,11 +303,11 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]
     """The columns ``keep`` with _lang_pred and _score; docs has a column text."""
     from pyspark.sql import types as T
 
-    base = pick(docs, *dict.fromkeys([*keep, "text"]))
+    base = texts(docs, *dict.fromkeys([*keep, "text"]))
     fields = [base.schema[k] for k in keep]
     out = T.StructType([*fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return base.select(*keep, F.col("text").alias("_text")).mapInArrow(_predict(shared), out)
+    return base.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).mapInArrow(_predict(shared), out)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
