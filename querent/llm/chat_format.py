@@ -100,22 +100,33 @@ def render_turn(role: str, text: str) -> str:
         name, body = escape(name), escape(body)
 
 
-RENDERED = "conv_id long, turn long, role string, text string, rendered string"
+RENDERED = "conv_id long, turn long, role string, text string, rendered string, loss_start int, loss_length int"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
+def loss_span(role: str, rendered: str) -> tuple[int, int]:
+    """First character and length, in the rendered turn, of what is learned from: an assistant's text."""
+    if role != "assistant":
+        return 0, 0
+    left, right = MARKS[role]
+    return len(left), len(rendered) - len(left) - len(right)
+
+
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         roles, texts = ([x or "" for x in batch.column(i).to_pylist()] for i in (2, 3))
-        rendered = pa.array(map(render_turn, roles, texts), pa.string(), size=len(roles))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), rendered], ["conv_id", "turn", "role", "text", "rendered"])
+        rendered = list(map(render_turn, roles, texts))
+        spans = list(map(loss_span, roles, rendered))
+        columns = [batch.column(0), batch.column(1), *[pa.array(x, pa.string()) for x in (roles, texts, rendered)], *[pa.array([s[i] for s in spans], pa.int32()) for i in (0, 1)]]
+        yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_length"])
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, rendered: each turn with its rendered segment.
+    """conv_id, turn, role, text, rendered, loss_start, loss_length: each turn with its rendered segment.
 
-    A conversation's formatted text is BEGIN and its segments by (turn, role, text).
+    A conversation's formatted text is BEGIN and its segments by (turn, role,
+    text); the loss mask covers the span of a segment that starts at loss_start.
     """
     table = pick(turns, "conv_id", "turn", "role", "text")
     return table.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(_render, RENDERED)
@@ -130,7 +141,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done = []
-        for conv, segment in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for conv, segment, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held is None or held[0] != conv:
                 if held is not None:
                     done.append(row())
@@ -138,9 +149,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role, text in parse(segment):
                 held[1] += 1
                 held[2].update(f"{role}\n{text}\n".encode())
-                if role == "assistant":
-                    held[3] += len(text)
-                    held[4].update(text.encode())
+            learned = unescape(segment[start : start + length])
+            held[3] += len(learned)
+            held[4].update(learned.encode())
             held[5] += len(segment)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), _READ, strict=True)], schema=_READ)
@@ -151,7 +162,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the parser finds in each conversation's rendered segments, in order."""
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "rendered").mapInArrow(_read, READ)
+    return ordered.select("conv_id", "rendered", "loss_start", "loss_length").mapInArrow(_read, READ)
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:

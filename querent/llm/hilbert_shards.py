@@ -85,7 +85,7 @@ def _quantised(df: DataFrame, dims: list[str], bits: int) -> list:
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard, slot for every row of docs."""
+    """doc_id, size, text_crc32, curve, input, shard, slot for every row of docs; input is its place in docs."""
     if len(dims) * bits > 62:
         raise ValueError("dims times bits must not exceed 62")
     table = pick(docs, *dict.fromkeys(["doc_id", "text", *dims]))
@@ -103,19 +103,31 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("
         curve(*cells).alias("curve"),
         F.monotonically_increasing_id().alias("input"),
     )
-    ordered = rows.repartitionByRange("curve", "text_crc32", "doc_id", "input").sortWithinPartitions("curve", "text_crc32", "doc_id", "input").drop("input")
+    ordered = rows.repartitionByRange("curve", "text_crc32", "doc_id", "input").sortWithinPartitions("curve", "text_crc32", "doc_id", "input")
     placed = written(ordered.withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "hilbert")
     # One row a task: small however large the corpus is.
     counts = placed.groupBy("task").agg(F.count("*").alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
     at = (F.col("start") + F.col("place")).alias("at")
-    joined = placed.join(starts, "task").select("doc_id", "size", "text_crc32", "curve", at, "total")
+    joined = placed.join(starts, "task").select("doc_id", "size", "text_crc32", "curve", "input", at, "total")
     # Row i of N goes to shard floor(i * shards / N); that shard begins at ceil(shard * N / shards).
     shard = F.expr(f"at * {shards} div total")
     return joined.withColumn("shard", shard.cast("int")).withColumn("slot", F.expr(f"at - (shard * total + {shards - 1}) div {shards}")).drop("at", "total")
 
 
+def write_shards(docs: DataFrame, folder: str, shards: int = 24, dims: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5) -> None:
+    """Writes docs as Parquet, a folder ``shard=<n>`` each, in curve order.
+
+    docs must be read from files, so that a row's place in it is the same twice.
+    A shard is written by one task, so choose as many as make files of a good size.
+    """
+    placed = hilbert_shards(docs, shards, dims, bits).select(F.col("input").alias("_input"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows = docs.withColumn("_input", F.monotonically_increasing_id()).join(placed, "_input").drop("_input")
+    dealt = rows.repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_slot").drop("_slot")
+    dealt.withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(folder)
+
+
 def op2_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     placed = hilbert_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -109,7 +109,9 @@ def binary_lengths(n: int, limit: int) -> list[int]:
     return [limit] * (n // limit) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _pieces(limit: int, path):
+def _pieces(limit: int, path, with_ids: bool):
+    schema = _PIECES.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _PIECES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -124,28 +126,30 @@ def _pieces(limit: int, path):
                     ids = memoryview(tokens.encode(text or b"") + END)
                     n, start = len(ids) // 4, 0
                     for length in binary_lengths(n, limit):
-                        rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, task, seen[length]))
+                        own = ids[4 * start : 4 * (start + length)]
+                        rows.append((doc_id, start, length, zlib.crc32(own), n, task, seen[length], *([list(own.cast("i"))] if with_ids else [])))
                         seen[length] += 1
                         start += length
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def pack(docs: DataFrame, limit: int = 2048, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, limit: int = 2048, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     path names the vocabulary file; by default each worker finds the public one.
+    with_ids adds the token ids themselves, which are the training sequences.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
-    pieces = written(texts(docs, "doc_id", "text").mapInArrow(_pieces(limit, path), PIECES), "pieces")
+    pieces = written(texts(docs, "doc_id", "text").mapInArrow(_pieces(limit, path, with_ids), f"{PIECES}, ids array<int>" if with_ids else PIECES), "pieces")
     # At most one row for each task and power of two.
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     order = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "task", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
-    return pieces.join(starts, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("ordinal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return pieces.join(starts, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("ordinal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -107,3 +107,29 @@ def test_small_word_table_gives_the_same_ids():
     one, two = packing.WordTokens(packing.vocabulary(), 3), packing.WordTokens(packing.vocabulary())
     for t in (b"a b c d e", b"f g", b"a b", b"\xc3\x89t\xc3\xa9 a"):
         assert one.encode(t) == two.encode(t)
+
+
+def test_loss_spans_lie_in_the_rendered_turn(spark):
+    clash = "say </s> and [INST]"
+    table = spark.createDataFrame([(1, 0, "user", clash), (1, 1, "assistant", clash)], "conv_id long, turn long, role string, text string")
+    rows = {r.role: r for r in chat_format.format_turns(table).collect()}
+    r = rows["assistant"]
+    assert chat_format.unescape(r.rendered[r.loss_start : r.loss_start + r.loss_length]) == clash and rows["user"].loss_length == 0
+
+
+def test_pieces_with_their_ids(spark):
+    table = spark.createDataFrame([(1, "a few words here"), (2, None)], "doc_id long, text string")
+    for r in packing.pack(table, with_ids=True).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+
+
+def test_written_shards_can_be_pruned(spark, tmp_path):
+    rows = [(i, f"text {i}", f"s{i % 7}", ["en", "de"][i % 2], i * 37 % 1000) for i in range(2400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").coalesce(3).write.parquet(str(tmp_path / "in"))
+    hilbert_shards.write_shards(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out"), 24)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, *_ in rows)
+    assert Counter(Counter(r.shard for r in got).values()) == {100: 24}
+    # Shards whose range of sizes meets a tenth of all sizes, and of those with a source: far from all.
+    hit = {s for s in range(24) if any(r.shard == s and 400 <= r.n_chars < 420 for r in got)}
+    assert len(hit) <= 12 and len({r.shard for r in got if r.source == "s3"}) <= 16

@@ -186,3 +186,19 @@ def test_windows_label_every_word_once_and_in_context():
     for t in range(4):
         for k in range(n):
             assert abs(m[t, k] - sum(np.exp(s - log) for y, s in score.items() if y[t] == k)) < 1e-9
+
+
+def test_spans_follow_the_switch(spark):
+    rng = random.Random(7)
+    model = language_id.learn([(k, prose(rng, k, 300)) for k in SYLLABLES for _ in range(6)])
+    one, two = prose(rng, "aa", 60), prose(rng, "cc", 60)
+    table = docs(spark, [(1, f"{one}. {two}", None, "s"), (2, None, None, "s"), (3, "12", "aa", "s")])
+    got = {r.doc_id: r.spans for r in language_id.language_spans(table, model).collect()}
+    assert got[2] == [] and got[3] == []
+    covered = {"aa": 0, "cc": 0}
+    for s in got[1]:
+        if s.lang in covered:
+            right = (0, len(one)) if s.lang == "aa" else (len(one), 10**6)
+            covered[s.lang] += max(0, min(s.end, right[1]) - max(s.start, right[0]))
+    assert covered["aa"] > 0.9 * len(one) and covered["cc"] > 0.9 * len(two)
+    assert got[1][0].start == 0 and all(a.end <= b.start for a, b in zip(got[1], got[1][1:]))
