@@ -1,8 +1,9 @@
 """Snapshot-versioned Parquet tables with INSERT, UPDATE, DELETE and key updates.
 
-A table is a folder of immutable data folders and numbered version files; a
-version lists the data folders that make up a snapshot. Inserts add a folder
-and leave the rest alone; updates and deletes write the new snapshot. A commit
+A table is a folder of immutable data files and numbered version files; a
+version lists the data files that make up a snapshot. Inserts add files and
+leave the rest alone; updates and deletes first look for the files that hold
+affected rows (a pruned, filtered scan) and rewrite only those. A commit
 creates the next version file by an atomic rename, so readers see the old or
 the new snapshot and nothing between, and of two writers one fails. All file
 access goes through Hadoop's file system, so the store may lie anywhere Spark
@@ -29,6 +30,11 @@ from querent.operators.relation import Query, Relation, as_relation
 from querent.sources.database import Database, _flat
 
 
+def _renamed(model: type, df: DataFrame) -> DataFrame:
+    """The columns under names that no relation inside a statement can capture."""
+    return df.select(*[F.col(f"`{n}`").alias(f"target_{n}") for n in model.names()], "target_file")
+
+
 def _counted(rows: DataFrame, hit: Column) -> tuple[DataFrame, Callable[[], int]]:
     """rows, and how many of them were hit once they have been written: one pass for both."""
     seen = Observation()
@@ -170,26 +176,43 @@ class Transaction:
     def read(self, name: str) -> DataFrame:
         return self.store._frame(self._of(name))
 
-    def _write(self, name: str, rows: DataFrame) -> str:
+    def _write(self, name: str, rows: DataFrame) -> list[str]:
+        """Writes rows; the new files."""
         from pyspark.sql import types as T
 
         schema = T.StructType.fromJson(self._of(name)["schema"])
         folder = f"{name}/data-{uuid.uuid4().hex}"
         rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(f"{self.store.root}/{folder}")
-        return folder
+        found = self.store._fs().listStatus(self.store._path(folder))
+        return [f"{folder}/{n}" for n in sorted(f.getPath().getName() for f in found) if n.startswith("part-")]
 
     def _append(self, name: str, rows: DataFrame) -> int:
         state = self._of(name)
         rows, seen = _counted(rows, F.lit(True))
-        folder = self._write(name, rows)
-        self.state[name] = {**state, "data": [*state["data"], folder]}
+        files = self._write(name, rows)
+        self.state[name] = {**state, "data": [*state["data"], *files]}
         self.changed.add(name)
         return seen()
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        folder = self._write(name, rows)
-        self.state[name] = {**self._of(name), "data": [folder]}
+    def _rewrite(self, name: str, affected: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], tuple[DataFrame, Callable[[], int]]]) -> int:
+        """Changes the files that hold rows of affected(all rows); the rows' number.
+
+        The frames have the table's columns and target_file.
+        """
+        state = self._of(name)
+        if not state["data"]:
+            return 0
+        scan = lambda files: self.store._frame({**state, "data": files}).select("*", F.col("_metadata.file_path").alias("target_file"))
+        # One row a file at most.
+        paths = {"/".join(r[0].rsplit("/", 3)[1:]) for r in affected(scan(state["data"])).select("target_file").distinct().collect()}
+        hit = [f for f in state["data"] if "/".join(f.rsplit("/", 2)) in paths]
+        if not hit:
+            return 0
+        rows, count = change(scan(hit))
+        files = self._write(name, rows)
+        self.state[name] = {**state, "data": [*[f for f in state["data"] if f not in hit], *files]}
         self.changed.add(name)
+        return count()
 
     def commit(self) -> None:
         for name in sorted(self.changed | {n for n, v in self.start.items() if v == 0}):
@@ -246,11 +269,19 @@ class Transaction:
         return rows.select(*[F.col(f"`{f.name}`") if f.name in given else F.lit(f.default).cast(f.dtype).alias(f.name) for f in model.__fields__])
 
     # UPDATE, DELETE
-    def _target(self, model: type, params: dict[str, Any]) -> tuple[DataFrame, Record, Scope]:
+    def _target(self, model: type, params: dict[str, Any]) -> tuple[Record, Scope]:
         names = [f"target_{n}" for n in model.names()]
-        df = self.read(model.__table__).select(*model.names()).toDF(*names)
         refs = [Ref(n, leaf.dtype, label) for n, leaf, label in zip(names, model.shape().leaves(), model.names(), strict=True)]
-        return df, Record(model.shape(), list(refs), FLAT), Scope(self._db(), _flat(params), frozenset(names))
+        return Record(model.shape(), list(refs), FLAT), Scope(self._db(), _flat(params), frozenset(names))
+
+    def _where(self, model: type, query: Query, scope: Scope) -> Callable[[DataFrame], DataFrame]:
+        def affected(df: DataFrame) -> DataFrame:
+            df = _renamed(model, df)
+            for r in query.restrictions:
+                df = df.where(r.expr.build(scope))
+            return df
+
+        return affected
 
     def _matched(self, df: DataFrame, query: Query, scope: Scope) -> DataFrame:
         """df with a column that tells whether the restrictions are TRUE.
@@ -275,16 +306,19 @@ class Transaction:
 
     def update(self, model: type, describe: Callable[[Assignments, Record], Any], **params: Any) -> int:
         """SET by assignments over the old row, where the restrictions are TRUE."""
-        df, row, scope = self._target(model, params)
+        row, scope = self._target(model, params)
         own = Assignments(model)
         describe(own, row)
         if not own.terms:
             raise ValueError("nothing is set")
-        rows = self._matched(df, own.query, scope)
-        new = [F.when(F.col("hit"), own.terms[n].expr.build(scope)).otherwise(F.col(f"target_{n}")).alias(n) if n in own.terms else F.col(f"target_{n}").alias(n) for n in model.names()]
-        rows, affected = _counted(rows, F.col("hit"))
-        self._replace(model.__table__, rows.select(*new))
-        return affected()
+
+        def change(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+            rows, count = _counted(self._matched(_renamed(model, df), own.query, scope), F.col("hit"))
+            old = {n: F.col(f"target_{n}") for n in model.names()}
+            new = {n: F.when(F.col("hit"), own.terms[n].expr.build(scope)).otherwise(c) if n in own.terms else c for n, c in old.items()}
+            return rows.select(*[c.alias(n) for n, c in new.items()]), count
+
+        return self._rewrite(model.__table__, self._where(model, own.query, scope), change)
 
     def update_all_columns(self, model: type, record: Any, describe: Callable[[Assignments, Record], Any] | None = None, **params: Any) -> int:
         def whole(a: Assignments, row: Record) -> None:
@@ -302,22 +336,26 @@ class Transaction:
             raise TypeError("a key update needs a key and columns besides it")
         values = [tuple(model.values(r)) for r in records]
         new = self.store.spark.createDataFrame(values, model.schema()).select(*[F.col(n).alias(f"new_{n}") for n in model.names()], F.lit(True).alias("hit"))
-        old = self.read(model.__table__)
-        joined = old.join(new, [F.col(n) == F.col(f"new_{n}") for n in names], "left")
-        joined, affected = _counted(joined, F.col("hit"))
-        self._replace(model.__table__, joined.select(*[F.col(n) if n in names else F.when(F.col("hit"), F.col(f"new_{n}")).otherwise(F.col(n)).alias(n) for n in model.names()]))
-        return affected()
+        same = [F.col(n) == F.col(f"new_{n}") for n in names]
+
+        def change(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+            rows, count = _counted(df.join(new, same, "left"), F.col("hit"))
+            return rows.select(*[F.col(n) if n in names else F.when(F.col("hit"), F.col(f"new_{n}")).otherwise(F.col(n)).alias(n) for n in model.names()]), count
+
+        return self._rewrite(model.__table__, lambda df: df.join(new, same, "left_semi"), change)
 
     def delete(self, model: type, describe: Callable[[Assignments, Record], Any] | None = None, **params: Any) -> int:
         """Remove the rows for which the restrictions are TRUE; NULL keeps a row."""
-        df, row, scope = self._target(model, params)
+        row, scope = self._target(model, params)
         own = Assignments(model)
         if describe:
             describe(own, row)
-        rows = self._matched(df, own.query, scope)
-        rows, affected = _counted(rows, F.col("hit"))
-        self._replace(model.__table__, rows.where(~F.col("hit")).select(*[F.col(f"target_{n}").alias(n) for n in model.names()]))
-        return affected()
+
+        def change(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+            rows, count = _counted(self._matched(_renamed(model, df), own.query, scope), F.col("hit"))
+            return rows.where(~F.col("hit")).select(*[F.col(f"target_{n}").alias(n) for n in model.names()]), count
+
+        return self._rewrite(model.__table__, self._where(model, own.query, scope), change)
 
 
 __all__ = ["Assignments", "Conflict", "Relation", "Store", "Transaction"]

@@ -215,3 +215,15 @@ def test_raw_statements(spark, tmp_path):
     db = database(spark)
     db.execute("CREATE OR REPLACE TEMP VIEW raw_probe AS SELECT * FROM set_a")
     assert db.execute("SELECT a1 FROM raw_probe WHERE a0 = :k", k=9).collect()[0][0] == "Q"
+
+
+def test_only_files_with_affected_rows_are_rewritten(store):
+    store.insert(KeyTest, [KeyTest("m", 50, "g", "b", 1)])
+    store.insert(KeyTest, [KeyTest("m", 60, "g", "c", 2)])
+    before = set(store._load("keytest")[1]["data"])
+    assert store.update(KeyTest, lambda a, r: a.assign("baz", 9).wheres(r.bar == 50)) == 1
+    after = set(store._load("keytest")[1]["data"])
+    assert len(before & after) == len(before) - 1
+    version = store._load("keytest")[0]
+    assert store.delete(KeyTest, lambda a, r: a.wheres(r.bar == 12345)) == 0 and store._load("keytest")[0] == version
+    assert rows(store)[50] == ("b", 9) and rows(store)[60] == ("c", 2) and len(rows(store)) == 6
