@@ -15,8 +15,8 @@ marginals are kept only for its core, whose surroundings on both sides are
 part of the window, so every word is labelled once, in context.
 
 Learning maximises the conditional likelihood of label sequences. It uses a
-bounded sample (``PER_LANG`` documents a language, in hash order, of at most
-``MOST_CHARS`` characters each), cut into spans that are joined across
+bounded sample (``PER_LANG`` documents of at most ``MOST_CHARS`` characters, in
+hash order, of each of ``MOST_LABELS`` languages), cut into spans that are joined across
 languages, so transitions are learned from switching text. Prediction reads
 every whole text and nothing but the text.
 
@@ -41,7 +41,10 @@ from querent.llm.shared import pick, texts
 PER_LANG = 250
 MOST_CHARS = 20_000
 SPANS = 900
-SLICES = 64
+#: Rows drawn by hash, as a multiple of PER_LANG, before the first PER_LANG of them are taken.
+DRAWN = 4
+#: Most languages that are learned, the most frequent first.
+MOST_LABELS = 500
 TABLE = 1 << 15
 CORE, CONTEXT = 128, 12
 SEED = 5
@@ -263,12 +266,14 @@ def training_sample(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG
     """(lang, text) of at most per_lang documents a language."""
     table = pick(docs, "doc_id", "lang", "text").where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     fits = table.where(F.length("text") <= most_chars)
-    chosen = fits.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).distinct()
-    # The first of each of a language's slices, then of those: no task gets a language's rows, however many tasks read them.
-    for keys in (["lang", F.pmod("h", F.lit(SLICES))], ["lang"]):
-        first = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-        chosen = chosen.withColumn("n", first).where(F.col("n") <= per_lang).drop("n")
-    ids = [r[0] for r in chosen.select("doc_id").collect()]
+    sizes = table.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()
+    if not sizes:
+        return []
+    # By its hash a row is drawn with a chance that leaves a few times per_lang rows of its language, however many there are.
+    chance = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, DRAWN * per_lang / r.n))]), F.col("lang"))
+    drawn = fits.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).where(F.pmod("h", F.lit(1 << 40)) < chance * float(1 << 40)).distinct()
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = [r[0] for r in drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").collect()]
     rows = fits.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")) if ids else fits.limit(0)
     return [(r.lang, r.text) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.lang))]
 
