@@ -175,11 +175,11 @@ class LanguageModel:
                     weights[where] += rate * step * 30 / np.sqrt(square[where])
                 self.entries[-1] = 0.0
 
-    def masses(self, docs: list[list[int]], emission: np.ndarray) -> np.ndarray:
-        """Expected words by label of every document; docs hold rows of emission."""
-        lengths = np.array([len(d) for d in docs])
-        out = np.zeros((len(docs), len(self.labels)))
-        if not lengths.sum():
+    def marginals(self, docs: list[list[int]], emission: np.ndarray) -> np.ndarray:
+        """Label probabilities of all words of the documents, in order; docs hold rows of emission."""
+        lengths = np.array([len(d) for d in docs], np.int64)
+        out = np.zeros((int(lengths.sum()), len(self.labels)))
+        if not len(out):
             return out
         flat = np.concatenate([np.asarray(d, np.int64) for d in docs])
         begin = np.cumsum(lengths) - lengths
@@ -195,9 +195,15 @@ class LanguageModel:
             marginal = alpha * beta
             marginal /= marginal.sum(axis=2)[:, :, None]
             core = (place >= lo[part][:, None]) & (place < hi[part][:, None])
-            np.add.at(out, doc[part], (marginal * core[:, :, None]).sum(axis=1))
+            out[words[core]] = marginal[core]
         return out
 
+    def masses(self, docs: list[list[int]], emission: np.ndarray) -> np.ndarray:
+        """Expected words by label of every document."""
+        marginal = self.marginals(docs, emission)
+        ends = np.cumsum([0, *map(len, docs)])
+        return np.array([marginal[a:b].sum(axis=0) for a, b in zip(ends, ends[1:], strict=False)])
+
 
 class WordTable:
     """Emission rows of words seen so far; most bounds how many are held."""
@@ -315,6 +321,39 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]
     return base.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).mapInArrow(_predict(shared), out)
 
 
+SPANS_FOUND = "doc_id long, spans array<struct<start:int,end:int,lang:string>>"
+
+
+def _spans(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        table = WordTable(own) if own else None
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                found = [[(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(t)] for t in texts]
+                rows: list[list[dict]] = [[] for _ in texts]
+                if own:
+                    labels = iter(own.marginals(*table.rows([[w for *_, w in f] for f in found])).argmax(axis=1))
+                    for row, words in zip(rows, found, strict=True):
+                        for (start, end, _), k in zip(words, labels, strict=False):
+                            if row and row[-1]["lang"] == own.labels[k]:
+                                row[-1]["end"] = end
+                            else:
+                                row.append({"start": start, "end": end, "lang": own.labels[k]})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
+
+    return run
+
+
+def language_spans(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """doc_id, spans: runs of words of one language, as character offsets into the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return texts(docs, "doc_id", "text").mapInArrow(_spans(shared), SPANS_FOUND)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(training_sample(docs, bucket(F.col("doc_id")) != 1))
