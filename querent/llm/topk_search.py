@@ -36,6 +36,8 @@ HITS = "query_id long, vec_id long, score long"
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 EXACT = float(1 << 53)
 LOW = np.iinfo(np.int64).min
+#: Bytes of the queries of a block, however long their vectors are.
+BLOCK_BYTES = 32 << 20
 #: Cells of a score matrix that a task holds at once.
 CELLS = 1 << 20
 
@@ -136,15 +138,15 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 4, query_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of vectors for each row of queries.
 
-    Both have (vec_id long, vector array<double> of integers). query_block
-    bounds what is broadcast at once.
+    Both have (vec_id long, vector array<double> of integers). query_block and
+    BLOCK_BYTES bound what is broadcast at once.
     """
     spark = vectors.sparkSession
     sound = (F.size("vector") > 0) & F.col("vec_id").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(sound)
     asked = written(queries.where(sound).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    n = asked.count()
-    count = -(-n // query_block)
+    n, longest = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    count = -(-n // max(1, min(query_block, BLOCK_BYTES // (8 * (longest or 1)))))
     out = None
     for i in range(count):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(count)) == i) if count > 1 else asked
