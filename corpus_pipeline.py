@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import language_id, line_dedup, mixing, packing, simhash
-from querent.llm.shared import pick, written
+from querent.llm import language_id, line_dedup, mixing, packing, similar
+from querent.llm.shared import pick, texts, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less sure than this are rejected, as are those without letters.
@@ -37,13 +37,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each group of near-duplicates."""
-    found = written(simhash.near_duplicates(docs), "near")
+    """Keeps the row with the smallest doc_id of each group linked by five-word Jaccard similarity of 0.8 or more."""
+    # Numbered once and written: both passes read the same numbers, however the files are split.
+    docs = written(texts(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = written(similar.near_copies(docs).join(docs.select("row", "doc_id"), "row"), "near")
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     groups = written(found.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).select("root", F.col("first.row").alias("kept")), "near-groups")
-    gone = found.join(groups, "root").where(F.col("row") != F.col("kept")).select(F.col("row").alias("_row"))
-    # A row's number is its place in the files read, the same here as where fingerprints were made.
-    return pick(docs, *COLUMNS).withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*COLUMNS)
+    gone = found.join(groups, "root").where(F.col("row") != F.col("kept")).select("row")
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
