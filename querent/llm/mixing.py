@@ -7,14 +7,17 @@
    Tokens are words, their stems and a few traits of the whole text.
 2. One pass scores every whole document and writes its token count T_d and
    domain posteriors p_d.
-3. Nonnegative rates r_d are fitted by distributed projected-gradient least
-   squares, so that the expected domain totals sum_d T_d r_d p_d meet the
-   targets t. In the token-weighted metric the gradient at a document is
-   p_d' M residual; M, the inverse of sum_d T_d p_d p_d', makes every step of
-   length one a contraction. A step is r_d <- max(0, r_d - p_d' M residual),
-   so a document's rate is a short chain of expressions over its own
-   posteriors: a step costs one aggregate over the narrow columns, nothing is
-   kept per document, and the driver sees one number a domain.
+3. Nonnegative rates r_d are fitted by distributed least squares, so that the
+   expected domain totals sum_d T_d r_d p_d meet the targets t: they minimise
+   |totals - t|^2 / (2 T) + HOLD / 2 sum_d T_d (r_d - 1)^2, T being sum_d T_d.
+   Soft posteriors are never 0, so a target of 0 is met only in the limit of
+   dropping all but the purest documents; the second term makes the answer
+   unique and weighs that loss. The solution is r_d = max(0, 1 + p_d' dual)
+   for one number a domain, found by Newton steps on the dual, which is
+   strongly convex: a step costs one aggregate over the narrow columns for all
+   the step sizes tried, nothing is kept per document, and the driver sees
+   sums only. Steps go on until the dual's gradient is within NEAR of the
+   budget; a fit that doesn't get there is an error.
 
 Targets are shares of the token budget. The default budget is the least with
 which no domain of positive share falls below what the corpus holds, so the
@@ -40,9 +43,14 @@ MAX_FEATURES = 256
 SEED = 11
 #: Letters of a word that count as its stem.
 STEM = 4
-MAX_STEPS = 24
-#: Residual, as a share of the token budget, at which rates are taken to fit.
-NEAR = 1e-4
+#: Weight of the rates' squared distance from 1 beside that of the totals from their targets.
+HOLD = 3e-4
+#: Newton steps after which a fit that hasn't settled is an error.
+MAX_STEPS = 100
+#: Gradient, as a share of the token budget, at which the fit has settled.
+NEAR = 1e-8
+#: Step sizes tried at once.
+SIZES = (1.0, 0.5, 0.125, 1 / 64, 1 / 1024)
 #: A document whose text is this much made of symbols, capitals or repeated words has the trait.
 TRAITS = {"<symbols>": 0.03, "<capitals>": 0.3, "<repeats>": 0.5}
 
@@ -163,35 +171,56 @@ def _totals(scored: DataFrame, rate: Column) -> list[float]:
     return [float(x or 0.0) for x in row]
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = MAX_STEPS) -> tuple[Column, dict]:
-    """The rate as an expression over the posteriors, and {"targets", "totals", "steps"}."""
+def fit_rates(scored: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = MAX_STEPS, hold: float = HOLD) -> tuple[Column, dict]:
+    """The rate as an expression over the posteriors, and {"targets", "totals", "residual", "steps"}.
+
+    The residual is the largest distance of a total from its target, as a share of the budget.
+    """
     import numpy as np
 
     k = range(len(DOMAINS))
     cells = [(i, j) for i in k for j in k if i <= j]
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    row = scored.agg(*[F.sum(F.col("_tokens") * p[i] * p[j]) for i, j in cells]).first()
-    gram = np.zeros((len(DOMAINS),) * 2)
-    for (i, j), x in zip(cells, row, strict=True):
-        gram[i, j] = gram[j, i] = float(x or 0.0)
-    inverse = np.linalg.pinv(gram, rcond=1e-12)
-    rate: Column = F.lit(1.0)
-    totals = _totals(scored, rate)
+    totals = _totals(scored, F.lit(1.0))
+    weight = float(scored.agg(F.sum("_tokens")).first()[0] or 0)
     share = [targets.get(d, 0.0) / sum(targets.values()) for d in DOMAINS]
     if budget is None:
         budget = max((t / s for t, s in zip(totals, share, strict=True) if s > 0), default=0.0)
-    goal = [s * budget for s in share]
-    taken = 0
-    for taken in range(1, steps + 1):
-        residual = np.array(totals) - np.array(goal)
-        if np.abs(residual).max() <= NEAR * max(budget, 1.0):
-            break
-        step = [float(x) for x in inverse @ residual]
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(s) * c for s, c in zip(step, p, strict=True)), F.lit(0.0)))
-        before, totals = totals, _totals(scored, rate)
-        if np.abs(np.array(before) - np.array(totals)).max() <= NEAR / 100 * max(budget, 1.0):
-            break  # no nonnegative rates come closer
-    return rate, {"targets": dict(zip(DOMAINS, goal, strict=True)), "totals": dict(zip(DOMAINS, totals, strict=True)), "steps": taken}
+    goal = np.array([s * budget for s in share])
+
+    def rated(dual: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) + sum((F.lit(float(x)) * c for x, c in zip(dual, p, strict=True)), F.lit(0.0)))
+
+    def measured(duals: list) -> list[tuple]:
+        """(value, totals, gradient, curve) of the dual at each place, in one pass."""
+        sums = []
+        for dual in duals:
+            rate = rated(dual)
+            sums += [F.sum(F.col("_tokens") * rate * rate), *[F.sum(F.col("_tokens") * rate * c) for c in p]]
+            sums += [F.sum(F.when(rate > 0, F.col("_tokens") * p[i] * p[j]).otherwise(0.0)) for i, j in cells]
+        row, out, width = [float(x or 0.0) for x in scored.agg(*sums).first()], [], 1 + len(DOMAINS) + len(cells)
+        for n, dual in enumerate(duals):
+            square, *rest = row[n * width : (n + 1) * width]
+            sums_, curve = np.array(rest[: len(DOMAINS)]), hold * weight * np.eye(len(DOMAINS))
+            for (i, j), x in zip(cells, rest[len(DOMAINS) :], strict=True):
+                curve[i, j] += x
+                curve[j, i] += x if i != j else 0.0
+            out.append((square / 2 - goal @ dual + hold * weight * (dual @ dual) / 2, sums_, sums_ - goal + hold * weight * dual, curve))
+        return out
+
+    dual, taken = np.zeros(len(DOMAINS)), 0
+    if weight:
+        value, totals, slope, curve = measured([dual])[0]
+        while np.abs(slope).max() > NEAR * max(budget, 1.0):
+            if taken == steps:
+                raise RuntimeError(f"rates did not settle in {steps} steps: gradient {np.abs(slope).max() / max(budget, 1.0):.3g} of the budget")
+            step = np.linalg.solve(curve, slope)
+            places = [dual - size * step for size in SIZES]
+            found = measured(places)
+            best = min(range(len(SIZES)), key=lambda i: found[i][0])
+            dual, (value, totals, slope, curve), taken = places[best], found[best], taken + 1
+    residual = float(np.abs(np.array(totals) - goal).max()) / max(budget, 1.0)
+    return rated(dual), {"targets": dict(zip(DOMAINS, goal.tolist(), strict=True)), "totals": dict(zip(DOMAINS, map(float, totals), strict=True)), "residual": residual, "steps": taken}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
