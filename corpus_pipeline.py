@@ -16,8 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less sure than this are rejected, as are those without letters.
 LEAST_SCORE = 0.3
 
-#: Posterior from which a document's toxicity counts as sure.
-SURELY = 0.8
+#: Posterior below which a document counts as clean, and the rate from which such a document stays.
+CLEAN, STAYS = 0.5, 0.5
 
 #: Language identification, near-duplicates, mixing and packing have no SQL form.
 ORACLE_SQL = None
@@ -48,12 +48,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents at their fitted rates; those that are surely toxic go with theirs.
+    """Repeats documents at their fitted rates.
 
-    Any other document stays at least once, so no clean one is lost to rounding.
+    A clean document whose rate is half a copy or more stays at least once, so
+    none of those is lost to rounding; the rates decide on all others.
     """
     mixed = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS)
-    copies = F.when(F.col("p_toxic") < SURELY, F.greatest("_copies", F.lit(1))).otherwise(F.col("_copies"))
+    stays = (F.col("p_toxic") < CLEAN) & (F.col("_rate") >= STAYS)
+    copies = F.when(stays, F.greatest("_copies", F.lit(1))).otherwise(F.col("_copies"))
     return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select(*COLUMNS)
 
 
