@@ -113,20 +113,50 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1300)}}
 
 
+def brute_top_k(rows, asked, k=5):
+    sound = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q in sorted({i for i, _ in sound if asked(i)}):
+        v = min(v for i, v in sound if i == q)
+        held = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(v, w)))), i) for i, w in sound if i != q and len(w) == len(v))[:k]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(held)]
+    return sorted(want)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(400)]
-    rows += [(1000 + i, [8.0] * 6) for i in range(50)] + [(2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (None, [1.0] * 6), (2003, []), (2004, [9.0, 9.0])]
-    rows += [(3, [1.0] * 6), (2005, [float("inf")] + [0.0] * 5), (2006, [1e18] * 6)]
+    rows += [(1000 + i, [8.0] * 6) for i in range(50)] + [(2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (None, [1.0] * 6), (2003, []), (3000, []), (2004, [9.0, 9.0])]
+    rows += [(3, [1.0] * 6), (2005, [float("inf")] + [0.0] * 5), (2006, [1e18] * 6), (2007, [-1e18] * 6)]
     table = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, vector array<double>, score int")
-    asked = table.where("vec_id % 20 = 3 or vec_id % 1000 = 4")
+    asked = table.where("vec_id % 20 = 3 or vec_id % 1000 = 4 or vec_id = 3000")
     got = {}
     for blocks in (200, 4096):
         got[blocks] = sorted(tuple(r) for r in topk_search.top_k_search(table.select("vec_id", "vector"), asked, query_block=blocks).collect())
-    sound = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for q in sorted({i for i, _ in sound if i % 20 == 3 or i % 1000 == 4}):
-        v = min(v for i, v in sound if i == q)
-        held = sorted((max(-(2**63) + 1, min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(v, w)))) * -1, i) for i, w in sound if i != q and len(w) == len(v))[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(held)]
-    assert got[4096] == sorted(want) and got[200] == got[4096]
+    assert got[4096] == brute_top_k(rows, lambda i: i % 20 == 3 or i % 1000 == 4 or i == 3000) and got[200] == got[4096]
+
+
+@pytest.mark.parametrize("size", [0, 1, 4, 6, 30])
+@pytest.mark.parametrize("dims", [1, 6, 10])
+def test_top_k_of_small_tables(spark, size, dims):
+    rng = np.random.default_rng(size + dims)
+    rows = [(i, [float(x) for x in rng.integers(-3, 3, dims)]) for i in range(size)]
+    table = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = sorted(tuple(r) for r in topk_search.top_k_search(table.repartition(3), table.where("vec_id % 2 = 0"), blocks=4).collect())
+    assert got == brute_top_k(rows, lambda i: i % 2 == 0)
+
+
+def test_the_cutoff_passes_over_most_candidates(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 100, 32).round()]) for i in range(2000)]
+    table, report = spark.createDataFrame(rows, "vec_id long, vector array<double>"), {}
+    got = sorted(tuple(r) for r in topk_search.top_k_search(table, table.where("vec_id % 50 = 0"), report=report).collect())
+    assert got == brute_top_k(rows, lambda i: i % 50 == 0)
+    assert report["phase 1"] < 0.05 * 40 * 2000 and 200 <= report["phase 3"] < 0.1 * 40 * 2000
+
+
+def test_huge_components_take_part(spark, tmp_path):
+    rows = [(0, [1.0, 1.0]), (1, [1e308, 0.0]), (2, [-1.7e308, 0.0]), (3, [0.25, 0.5]), (4, [float("inf"), 0.0]), (5, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.op9_topk_search(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 256 * 192), (0, 3, 2, -(2**63) + 1)]
