@@ -2,21 +2,30 @@
 
 Fingerprints: each text's 3-word shingles vote on 64 bits. Equal fingerprints
 are folded first (map-side combined), so copies never multiply. The distinct
-fingerprints then meet in six binary tries, one for each pair of the four
-16-bit blocks, with that pair's bits as the topmost 32 levels. Two fingerprints
-that differ in two bits at most agree on two whole blocks, so in one of the
-tries they share the node at level 32: these nodes are the shuffle key. Below
-it a task traverses pairs of nodes together, adds up differing bits on the way
-down and prunes a pair once it exceeds the error budget. Nodes that hold more
-than ``max_node`` fingerprints are first split ``split`` levels deeper into
-node pairs within the budget, so that they spread over tasks.
-
-What leaves a task is the links themselves for small nodes and a spanning
-forest for large ones; :func:`components` joins them up.
+fingerprints stand in a binary trie, which is joined with itself from the root:
+a pair of nodes (a, b) with the number of bits in which their paths differ
+leads to the pairs of their children, each differing bit adds an error, and a
+pair goes once it exceeds the error budget or one of its nodes is empty. A pair
+of a node with itself that holds one fingerprint goes as well; a pair that has
+at most ``leaf`` pairs of fingerprints below is a leaf, and those are compared.
+
+The descent is distributed: a round takes STEP levels, its node pairs are rows,
+and it is two equi-joins, of the pairs with the children of a, and of what the
+budget allows with the populated nodes b. A node has at most 2^STEP children and
+meets a bounded number of others, so no key of these joins is hot.
+
+Two tries share the work. Of two errors, either at most one lies in the upper
+32 bits, or none in the lower ones; so the first trie allows one error in its
+top 32 levels, and the second, which has the halves of the fingerprint
+swapped, none. A fingerprint then meets about (1 + level) / 2 other nodes at
+the level where nodes are nearly single, which grows with the logarithm of the
+corpus, where one trie with both errors allowed from the root would meet the
+square of that.
 
 Defined results: a null text or one without words has fingerprint 0, linked
 like any other; a null doc_id is never the smallest unless all are null;
-repeated rows are rows each.
+repeated rows are rows each; texts of any length are read whole; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.components import components
@@ -36,11 +45,12 @@ BUDGET = 2
 SEED = 42
 PRINTS = "doc_id long, fingerprint long, row long"
 EDGES = "u long, v long"
-_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
-#: Nodes up to this size are compared all with all.
-LEAF = 32
+#: Levels of the trie that a round descends; divides 32.
+STEP = 8
+#: Node pairs with at most so many pairs of fingerprints below are compared.
+LEAF = 8
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
@@ -71,149 +81,65 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(_fingerprints, PRINTS)
 
 
-def _join_nodes(a: np.ndarray, b: np.ndarray | None, level: int, errors: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs below a pair of trie nodes; b None is a paired with itself.
+def _masks(low: int, high: int) -> Column:
+    """All step-wide bit patterns of low to high set bits, fewest first."""
+    return F.array(*[F.lit(sum(1 << b for b in bits)).cast("long") for n in range(low, high + 1) for bits in combinations(range(STEP), n)])
 
-    Nodes are sorted arrays of values whose bits from ``level`` up are done.
+
+def _limits(budget: int) -> list[tuple[int, int]]:
+    """For each trie, the errors allowed in the top 32 levels and in all 64.
+
+    Of b errors, either at most b // 2 lie in the one half of the bits or at
+    most (b - 1) // 2 in the other, so no pair within the budget is lost.
+    """
+    return [(budget // 2, budget), *([((budget - 1) // 2, budget)] if budget else [])]
+
+
+def trie_links(distinct: DataFrame, leaf: int = LEAF, budget: int = BUDGET, report: list | None = None) -> DataFrame:
+    """Links (u, v), u < v, of all pairs within the budget; distinct has a long column fingerprint.
+
+    report, if given, gets (level, node pairs kept, of them leaves) of each round.
     """
-    stack = [(a, b, level, errors)]
-    while stack:
-        a, b, level, errors = stack.pop()
-        if not len(a) or (b is not None and not len(b)) or errors > budget:
-            continue
-        if len(a) * len(a if b is None else b) <= LEAF * LEAF or level < 0:
-            other = a if b is None else b
-            near = np.bitwise_count(a[:, None] ^ other[None, :]) <= budget
-            i, j = np.nonzero(np.triu(near, 1) if b is None else near)
-            if len(i):
-                yield a[i], other[j]
-            continue
-        bit = np.uint64(1) << np.uint64(level)
-        low = bit - np.uint64(1)
-
-        def halves(x: np.ndarray, bit: np.uint64 = bit, low: np.uint64 = low) -> tuple[np.ndarray, np.ndarray]:
-            k = int(np.searchsorted(x, (x[0] & ~(bit | low)) | bit))
-            return x[:k], x[k:]
-
-        a0, a1 = halves(a)
-        if b is None:
-            stack += [(a0, None, level - 1, errors), (a1, None, level - 1, errors), (a0, a1, level - 1, errors + 1)]
-        else:
-            b0, b1 = halves(b)
-            stack += [(a0, b0, level - 1, errors), (a1, b1, level - 1, errors), (a0, b1, level - 1, errors + 1), (a1, b0, level - 1, errors + 1)]
-
-
-def _forest(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of the pairs, those that join parts of values not yet connected."""
-    label = np.arange(len(values))
-    for u, v in pairs:
-        i, j = np.searchsorted(values, u), np.searchsorted(values, v)
-        while True:
-            open_ = np.flatnonzero(label[i] != label[j])
-            if not len(open_):
-                break
-            one, two = i[open_[0]], j[open_[0]]
-            yield values[one : one + 1], values[two : two + 1]
-            label[label == label[two]] = label[one]
-            i, j = i[open_], j[open_]
-
-
-def _link(split: int, budget: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
-
-        def links(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            trie, node, pair, value = cols
-            change = np.flatnonzero((trie[1:] != trie[:-1]) | (node[1:] != node[:-1]) | (pair[1:] != pair[:-1])) + 1
-            starts, ends = np.r_[0, change], np.r_[change, len(trie)]
-            size = ends - starts
-            values, found = value.view(np.uint64), []
-            # Small nodes: every row with those after it in its node, a shift at a time.
-            end = np.repeat(ends, size)
-            small = np.flatnonzero(np.repeat((size > 1) & (size <= LEAF), size))
-            for shift in range(1, LEAF):
-                small = small[small + shift < end[small]]
-                if not len(small):
-                    break
-                near = small[np.bitwise_count(values[small] ^ values[small + shift]) <= budget]
-                # In node pairs the two sides' own links belong to other keys, yet are links all the same.
-                found.append((trie[near], values[near], values[near + shift]))
-            for k in np.flatnonzero(size > LEAF):
-                own, (lo, hi) = values[starts[k] : ends[k]], divmod(int(pair[starts[k]]), 1 << 16)
-                if lo == hi:
-                    pairs = _join_nodes(own, None, 31 - (split if lo else 0), 0, budget)
-                else:
-                    side = (own >> np.uint64(32 - split)) & np.uint64((1 << split) - 1) | np.uint64(1 << split)
-                    pairs = _join_nodes(own[side == lo], own[side == hi], 31 - split, (lo ^ hi).bit_count(), budget)
-                for u, v in _forest(own, pairs):
-                    found.append((np.full(len(u), trie[starts[k]]), u, v))
-            if found:
-                t, u, v = (np.concatenate(c) for c in zip(*found, strict=True))
-                u, v = (_permuted_back(t, x).view(np.int64) for x in (u, v))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=_EDGES)
-
-        for batch in batches:
-            cols = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
-            trie, node, pair, _ = cols
-            last = np.flatnonzero((trie != trie[-1]) | (node != node[-1]) | (pair != pair[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from links(tuple(c[:cut] for c in cols))
-            held = tuple(c[cut:] for c in cols)
-        if held is not None and len(held[0]):
-            yield from links(held)
-
-    return run
-
-
-#: Trie t has the blocks LEADS[t] (0 holds the topmost bits) at its top, the others below.
-LEADS = list(combinations(range(4), 2))
-ORDERS = [(*lead, *(b for b in range(4) if b not in lead)) for lead in LEADS]
-
-
-def _permuted_back(trie: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out, part = np.zeros_like(values), np.uint64(0xFFFF)
-    for t, order in enumerate(ORDERS):
-        own = trie == t
-        x = values[own]
-        y = np.zeros_like(x)
-        for place, block in enumerate(order):
-            y |= ((x >> np.uint64(48 - 16 * place)) & part) << np.uint64(48 - 16 * block)
-        out[own] = y
-    return out
-
-
-def _permuted(column, order: tuple[int, ...]):
-    """The 16-bit blocks of a long column in another order."""
-    out = F.lit(0).cast("long")
-    for place, block in enumerate(order):
-        piece = F.shiftrightunsigned(column, 48 - 16 * block).bitwiseAND(F.lit(0xFFFF).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(piece, 48 - 16 * place))
-    return out
-
-
-def trie_links(distinct: DataFrame, max_node: int = 4096, split: int = 8, budget: int = BUDGET) -> DataFrame:
-    """Links (u, v) that connect whatever lies within the budget; distinct has a long column fingerprint."""
-    if budget > 2:
-        raise ValueError("four blocks guarantee a shared node for a budget of 2 at most")
-    fp = F.col("fingerprint")
-    tries = F.array(*[F.struct(F.lit(t).alias("trie"), _permuted(fp, order).alias("value")) for t, order in enumerate(ORDERS)])
-    rows = distinct.select(F.explode(tries).alias("x")).select("x.trie", F.shiftrightunsigned("x.value", 32).alias("node"), "x.value")
-    full = written(rows.groupBy("trie", "node").agg(F.count("*").alias("n")).where(F.col("n") > max_node).select("trie", "node", F.lit(1).alias("full")), "full-nodes")
-    own = F.shiftrightunsigned("value", 32 - split).bitwiseAND(F.lit((1 << split) - 1).cast("long"))
-    flips = [0, *(1 << i for i in range(split)), *((1 << i) | (1 << j) for i, j in combinations(range(split), 2))]
-    # A split node's pair (lo, hi) is lo * 65536 + hi, with both raised by one bit so that none is 0.
-    base = own.bitwiseOR(F.lit(1 << split).cast("long"))
-    deeper = F.array(*[(F.least(base, base.bitwiseXOR(F.lit(f).cast("long"))) * 65536 + F.greatest(base, base.bitwiseXOR(F.lit(f).cast("long")))) for f in flips])
-    pairs = F.when(F.col("full").isNull(), F.array(F.lit(0).cast("long"))).otherwise(deeper)
-    keyed = rows.join(full, ["trie", "node"], "left").select("trie", "node", F.explode(pairs).alias("pair"), "value")
-    # Values compare as signed longs in Spark; flipping the top bit sorts them as unsigned.
-    order = F.col("value").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    return keyed.repartition("trie", "node", "pair").sortWithinPartitions("trie", "node", "pair", order).mapInArrow(_link(split, budget), EDGES)
+    fp, half, limits = F.col("fingerprint"), 32, _limits(budget)
+    turned = F.shiftleft(fp, half).bitwiseOR(F.shiftrightunsigned(fp, half))
+    tries = F.array(*[F.struct(F.lit(t).alias("trie"), v.alias("value"), fp.alias("own")) for t, v in enumerate([fp, turned][: len(limits)])])
+    rows = written(distinct.select("fingerprint").distinct().select(F.explode(tries).alias("x")).select("x.*"), "tries")
+    size = rows.count()
+    pairs = rows.groupBy("trie").agg(F.count("*").alias("n_a")).where("n_a > 1").select("trie", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("errors"))
+    found = None
+    for level in range(STEP, 65, STEP):
+        node = F.shiftrightunsigned("value", 64 - level) if level < 64 else F.col("value")
+        nodes = written(rows.groupBy("trie", node.alias("node")).agg(F.count("*").alias("n")), f"nodes-{level}")
+        most = F.element_at(F.array(*[F.lit(top if level <= half else whole) for top, whole in limits]), F.col("trie") + 1)
+        below = nodes.select("trie", F.col("node").alias("child"), F.shiftrightunsigned("node", STEP).alias("a"), F.col("n").alias("n_a"))
+        # The errors between a child of a and one of b are the bits set in the pattern that tells them apart.
+        patterns = F.filter(_masks(0, budget), lambda m: F.bit_count(m) + F.col("errors") <= most)
+        other = F.shiftleft("b", STEP).bitwiseOR(F.col("child").bitwiseAND(F.lit((1 << STEP) - 1).cast("long")))
+        met = pairs.join(below, ["trie", "a"]).select("trie", "a", "b", "errors", "child", "n_a", other.alias("other"), F.explode(patterns).alias("m"))
+        met = met.select("trie", F.col("child").alias("a"), F.col("other").bitwiseXOR(F.col("m")).alias("b"), (F.col("errors") + F.bit_count("m")).cast("int").alias("errors"), "n_a", (F.col("a") == F.col("b")).alias("same"))
+        # Children of one node meet each other once; a node of one fingerprint has no pair within itself.
+        met = met.where("(not same or a <= b) and (a <> b or n_a > 1)").drop("same")
+        ends = nodes.select("trie", F.col("node").alias("b"), F.col("n").alias("n_b"))
+        done = (F.lit(level) == 64) | (F.col("n_a") * F.col("n_b") <= leaf)
+        kept = written(met.join(ends, ["trie", "b"]).select("trie", "a", "b", "errors", "n_a", "n_b", done.alias("done")), f"pairs-{level}")
+        total, leaves = kept.agg(F.count("*"), F.count_if("done")).first()
+        if report is not None:
+            report.append((level, total, leaves))
+        if leaves:
+            at = rows.select("trie", node.alias("node"), "own")
+            one, two = (at.select("trie", F.col("node").alias(x), F.col("own").alias(y)) for x, y in (("a", "u"), ("b", "v")))
+            links = kept.where("done").join(one, ["trie", "a"]).join(two, ["trie", "b"]).where((F.col("a") != F.col("b")) | (F.col("u") < F.col("v")))
+            links = links.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= budget).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+            found = links if found is None else found.unionByName(links)
+        if total == leaves:
+            break
+        pairs = kept.where("not done").select("trie", "a", "b", "errors")
+        if 4 * (total - leaves) < size:
+            # Few nodes are open: later rounds read the fingerprints below those alone.
+            open_ = pairs.select("trie", F.explode(F.array("a", "b")).alias("node")).distinct()
+            rows = written(rows.withColumn("node", node).join(open_, ["trie", "node"], "left_semi").select("trie", "value", "own"), "open-tries")
+            size = rows.count()
+    return distinct.sparkSession.createDataFrame([], EDGES) if found is None else found.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

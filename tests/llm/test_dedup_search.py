@@ -67,8 +67,8 @@ def brute_components(values, linked):
     return label
 
 
-@pytest.mark.parametrize("max_node", [4, 4096])
-def test_trie_links_equal_brute_force(spark, max_node):
+@pytest.mark.parametrize(("leaf", "budget"), [(1, 2), (8, 2), (4096, 2), (8, 0), (8, 1), (8, 3)])
+def test_trie_links_equal_brute_force(spark, leaf, budget):
     rng = np.random.default_rng(3)
     centres = [int(x) for x in rng.integers(0, 1 << 63, 12)] + [0, (1 << 64) - 1]
     values = set(centres)
@@ -80,17 +80,18 @@ def test_trie_links_equal_brute_force(spark, max_node):
             values.add(x)
     values = sorted(values)
     signed = [x - (1 << 64) if x >> 63 else x for x in values]
-    links = simhash.trie_links(spark.createDataFrame([(x,) for x in signed], "fingerprint long"), max_node=max_node)
-    place = {x: i for i, x in enumerate(signed)}
-    pairs = [(place[r.u], place[r.v]) for r in links.collect()]
-    assert all((values[a] ^ values[b]).bit_count() <= 2 for a, b in pairs)
-    label = list(range(len(values)))
-    for a, b in pairs:
-        if label[a] != label[b]:
-            old, new = label[a], label[b]
-            label = [new if x == old else x for x in label]
-    want = brute_components(values, lambda a, b: (a ^ b).bit_count() <= 2)
-    assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+    links = simhash.trie_links(spark.createDataFrame([(x,) for x in signed], "fingerprint long"), leaf, budget).collect()
+    want = {frozenset((a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) % (1 << 64)).bit_count() <= budget}
+    assert len(links) == len(want) and {frozenset((r.u, r.v)) for r in links} == want
+    assert simhash.trie_links(spark.createDataFrame([], "fingerprint long"), leaf, budget).count() == 0
+
+
+def test_the_descent_is_pruned(spark):
+    rng, report = np.random.default_rng(4), []
+    rows = [(int(x),) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 3000)]
+    simhash.trie_links(spark.createDataFrame(rows, "fingerprint long"), report=report)
+    # Rounds end once nodes are single; of 4.5 million pairs of fingerprints few node pairs are ever met.
+    assert report[0][1] > 256 and report[-1][0] <= 24 and sum(n for _, n, _ in report) < 60_000
 
 
 def test_simhash_equals_brute_force(spark):
