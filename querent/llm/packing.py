@@ -14,9 +14,11 @@ gapless from 0, fixed even if an executor is lost later.
 
 Words are tokenised once and kept in a bounded table as packed id bytes: this
 vocabulary drops white space, so a text's ids are those of its
-white-space-separated pieces in order. Defined results: a null or empty text
-is the end id alone, in one sequence of length 1; repeated rows are packed
-each.
+white-space-separated pieces in order. A text that names one of the
+vocabulary's own tokens, such as its end mark, is given to the tokenizer whole.
+Defined results: a null or empty text is the end id alone, in one sequence of
+length 1; repeated rows are packed each; a text of any length is read whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,7 +63,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Tokens that the vocabulary finds in raw text, before it normalises and cuts.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -80,7 +83,10 @@ class WordTokens:
     def encode(self, text: bytes) -> bytes:
         # bytes.split() cuts at ASCII white space only, all of which the vocabulary drops;
         # it lower-cases as well, so A-Z may be folded first.
-        words = text.translate(FOLD).split()
+        folded = text.translate(FOLD)
+        if any(t.translate(FOLD) in folded for t in self.special):
+            return _packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+        words = folded.split()
         new = set(words).difference(self.known)
         if new:
             if len(self.known) + len(new) > self.most:

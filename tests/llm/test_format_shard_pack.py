@@ -82,15 +82,14 @@ def test_packing_is_a_partition_of_the_ids(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary())
-    tokenizer.encode_special_tokens = True
-    texts = ["Hello world, it's\u00a0fine\u2003here e\u0301 don't 123", None, "", "<|endoftext|> x", "word\x1cword \u0301a", "many words and " * 3000, "Hello"]
-    table = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(6, "Hello", 0)], "doc_id long, text string, start int")
+    texts = ["Hello world, it's\u00a0fine\u2003here e\u0301 don't 123", None, "", "<|endoftext|> x", "x<|endoftext|>y <|ENDOFTEXT|> <|startoftext|>", "word\x1cword \u0301a", "many words and " * 3000, "Hello"]
+    table = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(7, "Hello", 0)], "doc_id long, text string, start int")
     got = packing.pack(table).collect()
     assert sorted(r.sequence_id for r in got) == list(range(len(got)))
     assert all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 2048 for r in got)
     by_id = sorted(got, key=lambda r: r.sequence_id)
     assert [r.length for r in by_id] == sorted((r.length for r in got), reverse=True)
-    for i, t in enumerate(texts[:6]):
+    for i, t in enumerate(texts[:7]):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
         assert [r.doc_tokens for r in own] == [len(ids)] * len(own)
@@ -99,7 +98,7 @@ def test_packing_is_a_partition_of_the_ids(spark):
             assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
-    assert len([r for r in got if r.doc_id == 6 and r.start == 0]) == 2
+    assert len([r for r in got if r.doc_id == 7 and r.start == 0]) == 2
     assert packing.pack(table.limit(0)).count() == 0
 
 

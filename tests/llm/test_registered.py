@@ -60,14 +60,22 @@ def test_op4(spark, documents):
 
 
 def test_op5(spark, documents):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from querent.llm.packing import vocabulary
+
+    tokenizer, pieces = Tokenizer.from_file(vocabulary()), defaultdict(list)
     got = run(spark, "op5_packing").collect()
-    pieces = defaultdict(list)
     for r in got:
-        pieces[r.doc_id].append((r.start, r.length, r.doc_tokens))
-    assert set(pieces) == set(documents) and len({r.sequence_id for r in got}) == len(got)
-    for own in pieces.values():
-        own.sort()
-        assert [s for s, *_ in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))] and sum(n for _, n, _ in own) == own[0][2]
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert set(pieces) == set(documents) and len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 for r in got)
+    for i, own in pieces.items():
+        ids, at = np.array([*tokenizer.encode(documents[i].text or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for start, length, crc, total in sorted(own):
+            assert (start, crc, total) == (at, zlib.crc32(ids[at : at + length].tobytes()), len(ids))
+            at += length
+        assert at == len(ids)
 
 
 def test_op7(spark, documents):
