@@ -15,32 +15,39 @@ marginals are kept only for its core, whose surroundings on both sides are
 part of the window, so every word is labelled once, in context.
 
 Learning maximises the conditional likelihood of label sequences. It uses a
-bounded sample (``PER_LANG`` documents of at most ``MOST_CHARS`` characters, in
-hash order, of each of ``MOST_LABELS`` languages), cut into spans that are joined across
-languages, so transitions are learned from switching text. Prediction reads
-every whole text and nothing but the text.
-
-Defined results: a text that is null or has no letter is ``und`` with score 0;
-so is every text if no row can be learned from. Ties go to the first label in
-sorted order. Repeated rows are predicted alike.
+bounded sample of rows: ``PER_LANG`` documents of each of the ``MOST_LABELS``
+most frequent languages, drawn by hash; of a text longer than the sample's
+share of ``SAMPLE_CHARS`` (``MOST_CHARS`` at most) a stretch at a place given by
+hash. Of these, ``SPANS`` spans a language and the ``LEXICON`` most frequent
+words are learned from. Spans are joined across languages, so transitions are
+learned from switching text. Prediction reads every whole text and nothing but
+the text.
+
+Defined results: a letter is a character of Unicode category L; a text that is
+null or has no letter is ``und`` with score 0; so is every text if no row can be
+learned from. Ties go to the first label in sorted order. Repeated rows are
+predicted alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.shared import pick, texts
+from querent.llm.shared import pick, texts, written
 
+#: Bounds of the training sample: documents a language, characters of a document and of all, spans and words.
 PER_LANG = 250
 MOST_CHARS = 20_000
+SAMPLE_CHARS = 40_000_000
 SPANS = 900
+LEXICON = 4000
 #: Rows drawn by hash, as a multiple of PER_LANG, before the first PER_LANG of them are taken.
 DRAWN = 4
 #: Most languages that are learned, the most frequent first.
@@ -49,7 +56,7 @@ TABLE = 1 << 15
 CORE, CONTEXT = 128, 12
 SEED = 5
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -158,9 +165,10 @@ class LanguageModel:
                 marginal /= marginal.sum(axis=2)[:, :, None]
                 labels = np.concatenate([y for _, y in part])
                 miss = np.eye(n)[labels] - marginal[inside]
-                pair = alpha[:, :-1, :, None] * np.exp(self.move) * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-                pair /= pair.sum(axis=(2, 3))[:, :, None, None]
-                moves = -(pair * inside[:, 1:, None, None]).sum(axis=(0, 1))
+                # Expected moves as one matrix product over all places, never a label pair a place.
+                move, ahead = np.exp(self.move), e[:, 1:] * beta[:, 1:]
+                weight = inside[:, 1:] / ((alpha[:, :-1] @ move) * ahead).sum(axis=2)
+                moves = -move * ((alpha[:, :-1] * weight[:, :, None]).reshape(-1, n).T @ ahead.reshape(-1, n))
                 for _, y in part:
                     np.add.at(moves, (y[:-1], y[1:]), 1.0)
                 by_word = np.stack([np.bincount(back, miss[:, k], len(used)) for k in range(n)], axis=1) / len(labels)
@@ -259,7 +267,7 @@ def learn(sample: list[tuple[str, str]]) -> LanguageModel | None:
     if not labels:
         return None
     seen = Counter(w for _, text in sample for w in set(words_of(text)))
-    model = LanguageModel(labels, [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:4000] if n >= 3])
+    model = LanguageModel(labels, [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if n >= 3])
     model.fit(_chains(sample, labels))
     return model
 
@@ -268,25 +276,25 @@ def bucket(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
 
 
-def training_sample(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG, most_chars: int = MOST_CHARS) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_lang documents a language."""
-    table = pick(docs, "doc_id", "lang", "text").where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    fits = table.where(F.length("text") <= most_chars)
+def training_sample(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG, most_chars: int = MOST_CHARS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """(lang, text) of at most per_lang documents a language, sample_chars characters in all."""
+    table = pick(docs, "doc_id", "lang", "text").where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sizes = table.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()
     if not sizes:
         return []
+    most = max(1, min(most_chars, sample_chars // (per_lang * len(sizes))))
     # By its hash a row is drawn with a chance that leaves a few times per_lang rows of its language, however many there are.
     chance = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, DRAWN * per_lang / r.n))]), F.col("lang"))
-    drawn = fits.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).where(F.pmod("h", F.lit(1 << 40)) < chance * float(1 << 40)).distinct()
+    drawn = table.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).where(F.pmod("h", F.lit(1 << 40)) < chance * float(1 << 40)).distinct()
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = [r[0] for r in drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").collect()]
-    rows = fits.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")) if ids else fits.limit(0)
+    wanted = written(drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id", "lang", "h"), "sample-ids")
+    # At most per_lang rows of two numbers and a name for each of MOST_LABELS languages.
+    rows = table.join(F.broadcast(wanted), ["doc_id", "lang"])
+    start = F.pmod("h", F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.substr("text", start, F.lit(most))).alias("text"))
     return [(r.lang, r.text) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.lang))]
 
 
-PREDICTED = "row long, lang_pred string, score double"
-
-
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value

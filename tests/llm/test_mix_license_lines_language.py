@@ -144,15 +144,15 @@ def test_language_id_on_held_out_and_switching_text(spark):
         lang = ["aa", "aa", "bb", "cc"][i % 4]
         text = prose(rng, lang, rng.randint(5, 200)) + (" " + prose(rng, "cc" if lang == "aa" else "aa", 3) if i % 5 == 0 else "")
         rows.append((i, text.title(), lang, "s"))
-    table = docs(spark, rows + [(1000, None, None, None), (1001, "", "aa", "s"), (1002, "12 -- !!", "bb", "s"), (1003, prose(rng, "bb", 30000), None, "s"), (None, prose(rng, "cc", 50), "aa", "s"), (4, rows[4][1], "aa", "s")])
+    table = docs(spark, rows + [(1000, None, None, None), (1001, "", "aa", "s"), (1002, "12 -- !!", "bb", "s"), (1004, "\u00bd \u00b2", "bb", "s"), (1005, "123 \u2463 \u216b", "cc", "s"), (1003, prose(rng, "bb", 30000), None, "s"), (None, prose(rng, "cc", 50), "aa", "s"), (4, rows[4][1], "aa", "s")])
     learnable = language_id.bucket(F.col("doc_id")) != 1
     sample = language_id.training_sample(table, learnable)
     model = language_id.learn(sample)
     assert model.labels == ["aa", "bb", "cc"]
     got = language_id.identify(table, model, ("doc_id", "lang", "words")).collect()
-    assert len(got) == 306
+    assert len(got) == 308
     by_id = {r.doc_id: r for r in got}
-    assert [by_id[i]._lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and by_id[1000]._score == 0
+    assert [by_id[i]._lang_pred for i in (1000, 1001, 1002, 1004, 1005)] == ["und"] * 5 and by_id[1000]._score == 0
     assert by_id[1003]._lang_pred == "bb" and by_id[None]._lang_pred == "cc"
     assert all(0 <= r._score <= 1 and r.words == "x" for r in got)
     known = [r for r in got if r.doc_id is not None and r.doc_id < 300]
@@ -162,6 +162,32 @@ def test_language_id_on_held_out_and_switching_text(spark):
     assert language_id.identify(table.limit(0), model, ("doc_id",)).count() == 0
 
 
+def test_a_language_of_long_texts_is_learned_from_stretches(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, "aa", 60), "aa", "s") for i in range(30)] + [(100 + i, prose(rng, "bb", 400), "bb", "s") for i in range(6)]
+    table = docs(spark, rows + [(4, rows[4][1], "aa", "s")])
+    sample = language_id.training_sample(table, F.lit(True), 10, 500)
+    assert Counter(lang for lang, _ in sample) == {"aa": 10, "bb": 6} and all(0 < len(t) <= 500 for _, t in sample)
+    assert len({t[:40] for lang, t in sample if lang == "bb"} & {t[:40] for _, t, *_ in rows}) < 6
+    assert all(len(t) <= 100 for _, t in language_id.training_sample(table, F.lit(True), 10, 500, 2000))
+    model = language_id.learn(sample)
+    assert {r.doc_id for r in language_id.identify(table, model, ("doc_id",)).collect() if r._lang_pred == "bb"} == {100 + i for i in range(6)}
+
+
+def test_expected_moves_equal_the_sum_over_label_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    potential, size, move = rng.normal(size=(3, 5, 4)), np.array([5, 3, 4]), rng.normal(size=(4, 4))
+    alpha, beta, e, _ = language_id.forward_backward(potential, size, move)
+    inside = np.arange(5)[None, :] < size[:, None]
+    pair = alpha[:, :-1, :, None] * np.exp(move) * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
+    want = (pair / pair.sum(axis=(2, 3))[:, :, None, None] * inside[:, 1:, None, None]).sum(axis=(0, 1))
+    ahead = e[:, 1:] * beta[:, 1:]
+    weight = inside[:, 1:] / ((alpha[:, :-1] @ np.exp(move)) * ahead).sum(axis=2)
+    assert np.allclose(np.exp(move) * ((alpha[:, :-1] * weight[:, :, None]).reshape(-1, 4).T @ ahead.reshape(-1, 4)), want)
+
+
 def test_windows_label_every_word_once_and_in_context():
     import numpy as np
 
