@@ -25,8 +25,10 @@ mix repeats scarce domains rather than dropping documents of wanted ones.
 
 Defined results: a null or empty text has no tokens and the rate of its
 posterior; labels with null values, and labels of unknown documents, aren't
-used, and of repeated labels the larger values count; without labels all
-domains are equally likely; documents with the same id draw alike.
+used, and of repeated labels the larger values count; of documents that repeat
+a labelled id the smallest text is learned from; without labels all domains are
+equally likely; documents with the same id draw alike; texts of any length are
+read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,8 +88,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     known = pick(labels, "doc_id", "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), _domain().alias("domain"))
-    # At most max_rows pairs of an id and a word: a proven bound for the broadcast.
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["id"]).select("domain", "text")
+    # At most max_rows pairs of an id and a word: a proven bound for the broadcast. Of rows that repeat an id
+    # one text counts, so what reaches the driver is bounded too.
+    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["id"]).groupBy("id", "domain").agg(F.min("text").alias("text"))
     rows = once(once(rows, "w", _words(F.col("text"))), "d", F.array_distinct("w"))
     rows = written(rows.select("domain", F.array_distinct(F.concat("d", _stems(F.col("d")), _traits(F.col("text"), F.col("w"), F.col("d")))).alias("tokens")), "sample")
     sizes = {r[0]: r[1] for r in rows.groupBy("domain").agg(F.count("*")).collect()}

@@ -134,6 +134,9 @@ def test_mixing_of_odd_tables(spark):
     assert Counter((r.doc_id, r._tokens) for r in got) == Counter([(1, 0), (2, 0), (3, 50000), (3, 50000), (None, 2)])
     assert len({r._copies for r in got if r.doc_id == 3}) == 1
     assert mixing.mix(odd, labels.limit(0)).count() == 5
+    # A labelled id that many rows repeat counts once in the fit.
+    again = table.unionByName(docs(spark, [(1, f"zz{i % 3}", "aa", "s") for i in range(500)]))
+    assert mixing.fit(again, labels, max_rows=12)["prior"] == mixing.fit(table.where("doc_id <> 1").unionByName(docs(spark, [(1, min("zz0", table.where("doc_id = 1").first().text), "aa", "s")])), labels, max_rows=12)["prior"]
     assert mixing.mix(table.limit(0), labels).count() == 0
 
 
