@@ -13,13 +13,15 @@ Escaping is reversible: inside a text, a control string with k back-slashes
 after its first character (``[\\INST]``) gets one more; reading takes one
 away. A turn is first rendered as it is and read again by the parser; only
 where the recovered turn differs from the source are its conflicting control
-strings escaped, once more each time, until it is identical. As the grammar
-leaves every turn in the same state, turns that read back one by one also read
-back as a conversation.
+strings escaped, once more each time, until it is identical.
 
 Rendering is done where the rows lie. Only then are turns sorted by
-(conversation, turn) and read back in a stream that holds one turn at a time,
-so a conversation of any length takes bounded memory. Defined results: a null
+(conversation, turn), and every conversation's whole text is parsed again: the
+reader is fed the text as a stream of pieces, whose ends it doesn't regard, and
+every turn it recovers is held against the source; a difference is an error.
+It keeps no more than the turn that has not ended, so a conversation of any
+length takes bounded memory; as its digests are chains over its turns, it is
+read by one task. Defined results: a null
 text or role counts as empty; rows with a null conv_id form one conversation
 with that id; turns that tie are ordered by role, then text; repeated rows are
 turns each; a null turn comes first.
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.shared import pick
+from querent.llm.shared import pick, texts
 
 BEGIN = "<s>"
 CONTROL = r"/?INST\]|/?ROLE\]|/TURN\]|/?s>|</?SYS>>"
@@ -54,32 +56,72 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
+class Unfinished(ValueError):
+    """The text ends before the turn does."""
+
+
 def _until(text: str, mark: str, at: int) -> tuple[str, int]:
     end = text.find(mark, at)
     if end < 0:
-        raise ValueError(f"no {mark!r} after character {at}")
+        raise Unfinished(f"no {mark!r} after character {at}")
     return text[at:end], end + len(mark)
 
 
+def _turn(text: str, at: int) -> tuple[tuple[str, str], int]:
+    """The turn that begins at a place, and the place after it."""
+    for role, (left, right) in MARKS.items():
+        if text.startswith(left, at):
+            # A control string that opens anything inside a text would make it ambiguous.
+            body, at = _until(text, right, at + len(left))
+            return (role, unescape(_sound(body))), at
+    if text.startswith(NAMED[0], at):
+        name, at = _until(text, NAMED[1], at + len(NAMED[0]))
+        body, at = _until(text, NAMED[2], at)
+        return (unescape(_sound(name)), unescape(_sound(body))), at
+    if any(x.startswith(text[at:]) for x in (*(m[0] for m in MARKS.values()), NAMED[0])):
+        raise Unfinished(f"no whole mark at character {at}")
+    raise ValueError(f"no turn begins at character {at}")
+
+
 def parse(text: str, at: int = 0) -> list[tuple[str, str]]:
     """The turns of a rendered string, by the grammar; ValueError if it isn't one."""
     turns = []
     while at < len(text):
-        for role, (left, right) in MARKS.items():
-            if text.startswith(left, at):
-                # A control string that opens anything inside a text would make it ambiguous.
-                body, at = _until(text, right, at + len(left))
-                break
-        else:
-            if not text.startswith(NAMED[0], at):
-                raise ValueError(f"no turn begins at character {at}")
-            name, at = _until(text, NAMED[1], at + len(NAMED[0]))
-            body, at = _until(text, NAMED[2], at)
-            role = unescape(_sound(name))
-        turns.append((role, unescape(_sound(body))))
+        found, at = _turn(text, at)
+        turns.append(found)
     return turns
 
 
+class Reader:
+    """The grammar over a text that comes in pieces, wherever they are cut."""
+
+    def __init__(self) -> None:
+        self.rest, self.begun = "", False
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """The turns that end within this piece."""
+        self.rest += piece
+        if not self.begun:
+            if len(self.rest) < len(BEGIN):
+                return []
+            if not self.rest.startswith(BEGIN):
+                raise ValueError("a conversation begins with its mark")
+            self.begun, self.rest = True, self.rest[len(BEGIN) :]
+        turns, at = [], 0
+        while at < len(self.rest):
+            try:
+                found, at = _turn(self.rest, at)
+            except Unfinished:
+                break
+            turns.append(found)
+        self.rest = self.rest[at:]
+        return turns
+
+    def close(self) -> None:
+        if self.rest or not self.begun:
+            raise ValueError("a conversation ends within a turn")
+
+
 def _sound(text: str) -> str:
     if any(not m[2] for m in _RAW.finditer(text)):
         raise ValueError("a raw control string inside a text")
@@ -114,11 +156,11 @@ def loss_span(role: str, rendered: str) -> tuple[int, int]:
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        roles, texts = ([x or "" for x in batch.column(i).to_pylist()] for i in (2, 3))
-        rendered = list(map(render_turn, roles, texts))
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+        roles, said = ([x or "" for x in batch.column(i).to_pylist()] for i in (2, 3))
+        rendered = list(map(render_turn, roles, said))
         spans = list(map(loss_span, roles, rendered))
-        columns = [batch.column(0), batch.column(1), *[pa.array(x, pa.string()) for x in (roles, texts, rendered)], *[pa.array([s[i] for s in spans], pa.int32()) for i in (0, 1)]]
+        columns = [batch.column(0), batch.column(1), *[pa.array(x, pa.string()) for x in (roles, said, rendered)], *[pa.array([s[i] for s in spans], pa.int32()) for i in (0, 1)]]
         yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_length"])
 
 
@@ -128,41 +170,60 @@ def format_turns(turns: DataFrame) -> DataFrame:
     A conversation's formatted text is BEGIN and its segments by (turn, role,
     text); the loss mask covers the span of a segment that starts at loss_start.
     """
-    table = pick(turns, "conv_id", "turn", "role", "text")
+    table = texts(turns, "conv_id", "turn", "role", "text")
     return table.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(_render, RENDERED)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list | None = None
+class _Conversation:
+    def __init__(self, conv: int | None):
+        self.conv, self.reader, self.due, self.n, self.chars = conv, Reader(), [], 0, 0
+        self.turns, self.loss, self.size = hashlib.sha256(), hashlib.sha256(), 0
+        self.add(BEGIN)
+
+    def add(self, piece: str) -> None:
+        self.size += len(piece)
+        for role, text in self.reader.feed(piece):
+            self.n += 1
+            if (role, text) != (source := self.due.pop(0)):
+                raise ValueError(f"conversation {self.conv}, turn {self.n}: read back {role!r} where {source[0]!r} was written, or another text")
+            self.turns.update(f"{role}\n{text}\n".encode())
 
-    def row() -> tuple:
-        conv, n, turns, chars, loss, size = held
-        return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size
+    def turn(self, role: str, text: str, segment: str, start: int, length: int) -> None:
+        self.due.append((role, text))
+        self.add(segment)
+        learned = unescape(segment[start : start + length])
+        self.chars += len(learned)
+        self.loss.update(learned.encode())
+
+    def row(self) -> tuple:
+        self.reader.close()
+        if self.due:
+            raise ValueError(f"conversation {self.conv}: {len(self.due)} turns were not read back")
+        return self.conv, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: _Conversation | None = None
 
     for batch in batches:
         done = []
-        for conv, segment, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held is None or held[0] != conv:
-                if held is not None:
-                    done.append(row())
-                held = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), len(BEGIN)]
-            for role, text in parse(segment):
-                held[1] += 1
-                held[2].update(f"{role}\n{text}\n".encode())
-            learned = unescape(segment[start : start + length])
-            held[3] += len(learned)
-            held[4].update(learned.encode())
-            held[5] += len(segment)
+        for at in range(0, batch.num_rows, 256):
+            for conv, *turn in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                if held is None or held.conv != conv:
+                    if held is not None:
+                        done.append(held.row())
+                    held = _Conversation(conv)
+                held.turn(*turn)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), _READ, strict=True)], schema=_READ)
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row(), _READ, strict=True)], schema=_READ)
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(held.row(), _READ, strict=True)], schema=_READ)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What the parser finds in each conversation's rendered segments, in order."""
+    """What the parser finds in each conversation's whole rendered text; ValueError unless it is the source."""
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "rendered", "loss_start", "loss_length").mapInArrow(_read, READ)
+    return texts(ordered, "conv_id", "role", "text", "rendered", "loss_start", "loss_length").mapInArrow(_read, READ)
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:

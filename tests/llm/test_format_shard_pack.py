@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -16,6 +17,22 @@ PIECE = st.lists(st.sampled_from(["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>",
 def test_rendered_turns_read_back(turns):
     text = "".join(chat_format.render_turn(r, t) for r, t in turns)
     assert chat_format.parse(text) == turns
+    reader, got, text = chat_format.Reader(), [], chat_format.BEGIN + text
+    for i in range(0, len(text), 3):
+        got += reader.feed(text[i : i + 3])
+    reader.close()
+    assert got == turns
+
+
+def test_a_conversation_that_reads_back_otherwise_is_an_error():
+    held = chat_format._Conversation(1)
+    held.turn("user", "a", "[INST] a [/INST]", 0, 0)
+    with pytest.raises(ValueError, match="read back"):
+        held.turn("user", "a", "[INST] b [/INST]", 0, 0)
+    held = chat_format._Conversation(2)
+    held.turn("user", "a", "[INST] a", 0, 0)
+    with pytest.raises(ValueError, match="within a turn"):
+        held.row()
 
 
 def test_plain_text_is_not_escaped():
