@@ -1,19 +1,25 @@
 """Exact deduplication over a cuckoo-filter index of live digests.
 
-Each task keeps a :class:`CuckooIndex`: 16-bit fingerprints in four-slot
-buckets, and beside every slot the full SHA-256 key it stands for. A
-fingerprint hit counts only once the stored key agrees. A better document for
-a known text deletes the live entry and inserts its own; an insertion that
-finds no free slot resizes the filter from the stored keys.
+Each task keeps a :class:`CuckooIndex`: 16-bit fingerprints of digests in
+four-slot buckets, and beside every slot the digest and the contents that have
+it, each with its value. A fingerprint hit counts only once the stored content
+is the text itself; texts that share a digest but differ are told apart. A
+better document for a known text deletes the live entry and inserts its own; an
+insertion that finds no free slot resizes the filter from the stored keys.
 
 The index runs twice. On the map side it folds the copies inside each task, so
-a text that holds a third of all rows reaches the shuffle as one row a task.
-After the shuffle it folds those partial entries in digest order, emptying
-itself between digests whenever it is full, so neither side's memory depends on
-the size of the corpus or of a group.
+a text that holds a third of all rows leaves a task as one head. Heads are
+written with their contents, the rows with the head they belong to. Only where
+a digest has heads of several tasks are contents shuffled: a second index folds
+those in digest order, again by content, emptying itself between digests
+whenever it is full. Neither side's memory depends on the size of the corpus or
+of a group: an index holds at most ``max_entries`` digests and about
+``max_bytes`` bytes of contents, and one text. The price is one copy of the
+distinct texts on disk until the session ends.
 
 Defined results: a null text counts as empty; a null doc_id sorts below every
-id; of repeated rows with the same id and text exactly one is kept.
+id; of repeated rows with the same id and text exactly one is kept; texts of
+any length are compared whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from querent.llm.shared import FOLD, texts, written
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Bytes of a digest; fewer only make more texts share one.
+DIGEST = 32
 
 
 class CuckooIndex:
@@ -69,6 +77,24 @@ class CuckooIndex:
         slot = self._slot(key)
         return None if slot < 0 else self.entries[slot][1]
 
+    def find(self, key: bytes, content: bytes):
+        """The value of a live text, or None; a hit is verified against the contents stored in its bucket."""
+        return next((v for c, v in self.get(key) or () if c == content), None)
+
+    def add(self, key: bytes, content: bytes, value) -> None:
+        """One more content of a digest."""
+        held = self.get(key)
+        if held is None:
+            self.insert(key, [(content, value)])
+        else:
+            held.append((content, value))
+
+    def replace(self, key: bytes, content: bytes, value) -> None:
+        """Deletes a live digest and inserts it with another value for the content."""
+        held = [(c, value if c == content else v) for c, v in self.get(key)]
+        self.delete(key)
+        self.insert(key, held)
+
     def insert(self, key: bytes, value) -> None:
         mark, one, two = self._homes(key)
         entry = (key, value)
@@ -112,74 +138,121 @@ class CuckooIndex:
         return out
 
 
-DIGESTS = "doc_id long, digest binary, row long"
-GROUPS = "digest binary, keep_id long, keep_row long, group_size long"
-_GROUPS = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            digests = [hashlib.sha256((t or b"").translate(FOLD)).digest() for t in part.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), part.column(2)], ["doc_id", "digest", "row"])
+FOUND = "doc_id long, row long, head long, digest binary, content binary, keep_id long, keep_row long, size long"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("head", pa.int64()), ("digest", pa.binary()), ("content", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("size", pa.int64())])
+GROUPS = "head long, keep_id long, keep_row long, size long"
+_GROUPS = pa.schema([("head", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("size", pa.int64())])
 
 
 def _rank(doc_id: int | None, row: int) -> tuple:
     return (doc_id is not None, doc_id or 0, row)
 
 
-def _fold(limit: int, ordered: bool):
-    """Fold (digest, id, row, count) rows; emit and empty the index once it holds limit entries.
+class _Live:
+    """What an index knows of a text: its best row, the number of its rows, and its heads."""
 
-    In digest order an emptying waits for the next digest, so each leaves once.
-    """
+    __slots__ = ("best", "heads", "size")
+
+    def __init__(self, head: int, best: tuple, size: int):
+        self.heads, self.best, self.size = [head], best, size
+
+
+def _folded(index: CuckooIndex, key: bytes, content: bytes, head: int, best: tuple, size: int) -> _Live:
+    """Counts rows of a text in the index; what is live for it afterwards."""
+    live = index.find(key, content)
+    if live is None:
+        live = _Live(head, best, size)
+        index.add(key, content, live)
+        return live
+    live.size += size
+    if _rank(*best) > _rank(*live.best):
+        better = _Live(head, best, live.size)
+        better.heads = live.heads
+        index.replace(key, content, better)
+        live = better
+    return live
+
+
+def _heads(max_entries: int, max_bytes: int, width: int):
+    """Rows with their head, and heads with content, best row and size, from (doc_id, text, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, last = CuckooIndex(), None
-
-        def flush() -> pa.RecordBatch:
-            found = index.drain()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, _ in found], pa.binary()),
-                    pa.array([v[0] for _, v in found], pa.int64()),
-                    pa.array([v[1] for _, v in found], pa.int64()),
-                    pa.array([v[2] for _, v in found], pa.int64()),
-                ],
-                schema=_GROUPS,
-            )
+        index, held = CuckooIndex(), 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for key, contents in index.drain():
+                for content, live in contents:
+                    rows.append((None, None, live.heads[0], key, content, *live.best, live.size))
+            for at in range(0, len(rows), 256):
+                yield _batch(rows[at : at + 256], _FOUND)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                for doc_id, text, row in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    content = (text or b"").translate(FOLD)
+                    digest = hashlib.sha256(content).digest()
+                    live = _folded(index, digest[:width], content, row, (doc_id, row), 1)
+                    held += len(content) if live.size == 1 else 0
+                    rows.append((doc_id, row, live.heads[0], digest, None, None, None, None))
+                    if len(index) >= max_entries or held >= max_bytes:
+                        yield from flush()
+                        held = 0
+                yield _batch(rows, _FOUND)
+        yield from flush()
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _merged(max_entries: int, max_bytes: int):
+    """The final best row and size for every head, from heads in digest order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, last, held = CuckooIndex(), None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(h, *live.best, live.size) for _, contents in index.drain() for _, live in contents for h in live.heads]
+            if rows:
+                yield _batch(rows, _GROUPS)
 
         for batch in batches:
-            for key, doc_id, row, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(index) >= limit and (not ordered or key != last):
-                    yield flush()
-                last = key
-                known = index.get(key)
-                if known is None:
-                    index.insert(key, (doc_id, row, count))
-                else:
-                    best = (doc_id, row) if _rank(doc_id, row) > _rank(*known[:2]) else known[:2]
-                    index.delete(key)
-                    index.insert(key, (*best, known[2] + count))
-        if len(index):
-            yield flush()
+            for at in range(0, batch.num_rows, 256):
+                for head, key, content, keep_id, keep_row, size in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if key != last and (len(index) >= max_entries or held >= max_bytes):
+                        yield from flush()
+                        held = 0
+                    last = key
+                    live = _folded(index, key, content, head, (keep_id, keep_row), size)
+                    if live.size == size:
+                        held += len(content)
+                    if head != live.heads[0]:
+                        live.heads.append(head)
+        yield from flush()
 
     return run
 
 
-def exact_dedup(docs: DataFrame, max_entries: int = 1 << 17) -> DataFrame:
-    """One row per document: doc_id, row, digest, keep_id, group_size, kept.
+def exact_dedup(docs: DataFrame, max_entries: int = 1 << 17, max_bytes: int = 64 << 20, digest_bytes: int = DIGEST) -> DataFrame:
+    """One row per document: doc_id, row, digest (of the folded text, whole), keep_id, group_size, kept.
 
-    max_entries bounds the live entries of a task's index, not the corpus.
+    max_entries and max_bytes bound a task's index, not the corpus; the index
+    knows texts by the first digest_bytes of their digests.
     """
     base = texts(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    digests = written(base.mapInArrow(_digest, DIGESTS), "digests")
-    partial = digests.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
-    partial = partial.mapInArrow(_fold(max_entries, False), GROUPS)
-    groups = partial.repartition("digest").sortWithinPartitions("digest").mapInArrow(_fold(max_entries, True), GROUPS)
-    joined = digests.alias("d").join(groups.alias("g"), F.col("d.digest") == F.col("g.digest"))
-    return joined.select("d.doc_id", "d.row", "d.digest", "g.keep_id", "g.group_size", (F.col("d.row") == F.col("g.keep_row")).alias("kept"))
+    found = written(base.mapInArrow(_heads(max_entries, max_bytes, digest_bytes), FOUND), "digests")
+    heads, rows = found.where(F.col("row").isNull()), found.where(F.col("row").isNotNull())
+    often = written(heads.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("digest"), "shared-digests")
+    alone = heads.join(often, "digest", "left_anti").select("head", "keep_id", "keep_row", "size")
+    shared = heads.join(often, "digest", "left_semi").select("head", "digest", "content", "keep_id", "keep_row", "size")
+    merged = texts(shared.repartition("digest").sortWithinPartitions("digest"), "head", "digest", "content", "keep_id", "keep_row", "size").mapInArrow(_merged(max_entries, max_bytes), GROUPS)
+    known = alone.unionByName(merged)
+    joined = rows.select("doc_id", "row", "head", "digest").join(known, "head")
+    return joined.select("doc_id", "row", "digest", "keep_id", F.col("size").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -33,10 +33,11 @@ def test_cuckoo_index_inserts_deletes_and_resizes():
     assert index.get(hashlib.sha256(b"absent").digest()) is None
 
 
-@pytest.mark.parametrize("most", [2, 1 << 17])
-def test_exact_dedup_equals_brute_force(spark, most):
-    rows = ROWS + [(100 + i, f"t{i % 7}") for i in range(60)]
-    got = exact_dedup.exact_dedup(docs(spark, rows).repartition(5), most).collect()
+@pytest.mark.parametrize(("most", "width"), [(2, 32), (1 << 17, 32), (1 << 17, 1), (3, 0)])
+def test_exact_dedup_equals_brute_force(spark, most, width):
+    # Digests of one byte, or none, are shared by many texts: contents alone tell them apart.
+    rows = ROWS + [(100 + i, f"t{i % 97}") for i in range(300)]
+    got = exact_dedup.exact_dedup(docs(spark, rows).repartition(5), most, 1000 if most == 3 else 64 << 20, width).collect()
     assert len(got) == len(rows)
     groups = {}
     for i, t in rows:
@@ -49,6 +50,17 @@ def test_exact_dedup_equals_brute_force(spark, most):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_a_live_digest_is_deleted_only_for_a_better_row(monkeypatch):
+    index, deleted = exact_dedup.CuckooIndex(), []
+    drop = exact_dedup.CuckooIndex.delete
+    monkeypatch.setattr(exact_dedup.CuckooIndex, "delete", lambda self, key: (deleted.append(key), drop(self, key))[1])
+    for row, doc_id in enumerate([5, 3, 9, 9, None, 1]):
+        exact_dedup._folded(index, b"k" * 32, b"text", row, (doc_id, row), 1)
+    assert len(deleted) == 2  # 9 after 5, and the later row of 9
+    live = index.find(b"k" * 32, b"text")
+    assert (live.best, live.size, live.heads) == ((9, 3), 6, [0]) and index.find(b"k" * 32, b"other") is None
+
+
 def brute_fingerprint(text):
     words = fold(text).encode().split()
     if not words:
