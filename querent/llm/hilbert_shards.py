@@ -1,8 +1,10 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Every document gets a cell: each dimension quantised to ``bits`` bits, numbers
-by equal-frequency cut points (one approximate-percentile aggregate), strings
-by hash. Rows are sorted by the cell's index on the Hilbert curve, so a run of
+Every document gets a cell: each dimension quantised to ``bits`` bits by
+equal-frequency cut points (one approximate-percentile aggregate over all rows).
+Strings are cut in their order too: they count as the number that their next
+PLACES bytes form after what the smallest and the largest value share, so a
+file's least and greatest value bound a stretch of the curve's dimension. Rows are sorted by the cell's index on the Hilbert curve, so a run of
 rows stays close in all dimensions at once, and the sorted order is cut into
 runs; readers that filter on any of the dimensions can then prune whole files
 by their min/max statistics.
@@ -16,8 +18,10 @@ before, so no row is ranked in a single task and no position can change when
 an executor is lost.
 
 Law ``rows``: shard sizes are at most one row apart. Defined results: nulls in
-a dimension form the lowest cell; a null text has size 8 and checksum 0; an
-empty table gives no rows.
+a dimension form the lowest cell; strings that differ only after those bytes
+share a cell; a null text has size 8 and checksum 0; a text of any length is
+read whole and none is moved; repeated rows are rows each; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.llm.shared import pick, written
@@ -63,32 +67,51 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _quantised(df: DataFrame, dims: list[str], bits: int) -> list:
+#: Bytes of a string that count: as many as a double holds exactly.
+PLACES = 6
+
+
+def _shared(least: str | None, most: str | None) -> int:
+    """How many bytes all values between the two begin with."""
+    a, b = (least or "").encode(), (most or "").encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def _numbers(df: DataFrame, dims: list[str]) -> list[Column]:
+    """Each dimension as a double in its own order; null where it is null."""
     kinds = dict(df.dtypes)
-    numbers = [d for d in dims if kinds[d] != "string"]
-    cuts = {}
-    if numbers:
-        shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-        row = df.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 10000).alias(d) for d in numbers]).first()
-        cuts = {d: sorted(set(row[d] or [])) for d in numbers}
+    strings = [d for d in dims if kinds[d] == "string"]
+    ends = df.agg(*[f(d).alias(f"{n}_{d}") for d in strings for n, f in (("least", F.min), ("most", F.max))]).first() if strings else {}
     out = []
     for d in dims:
-        if d in cuts:
-            if len(cuts[d]) == 0:
-                out.append(F.lit(0))
-                continue
-            found = sum(((F.col(d).cast("double") >= float(c)).cast("int") for c in cuts[d]), F.lit(0))
-            out.append(F.when(F.col(d).isNull(), 0).otherwise(found))
+        if d in strings:
+            own = F.rpad(F.substring(F.col(d).cast("binary"), _shared(ends[f"least_{d}"], ends[f"most_{d}"]) + 1, PLACES), PLACES, F.lit(b"\0"))
+            out.append(F.conv(F.hex(own), 16, 10).cast("double"))
         else:
-            out.append(F.when(F.col(d).isNull(), 0).otherwise(F.pmod(F.xxhash64(d), F.lit(1 << bits))))
-    return [c.cast("int") for c in out]
+            out.append(F.col(d).cast("double"))
+    return out
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5) -> DataFrame:
-    """doc_id, size, text_crc32, curve, input, shard, slot for every row of docs; input is its place in docs."""
+def _quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
+    numbers = _numbers(df, dims)
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    row = df.agg(*[F.percentile_approx(x, shares, 10000).alias(f"cuts_{i}") for i, x in enumerate(numbers)]).first()
+    out = []
+    for i, x in enumerate(numbers):
+        found = sum(((x >= float(c)).cast("int") for c in sorted(set(row[f"cuts_{i}"] or []))), F.lit(0))
+        out.append(F.when(x.isNull(), 0).otherwise(found).cast("int"))
+    return out
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5, number: Column | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, curve, input, shard, slot for every row of docs.
+
+    input is the row's ``number`` (distinct longs), by default its place in this one scan of docs.
+    """
     if len(dims) * bits > 62:
         raise ValueError("dims times bits must not exceed 62")
-    table = pick(docs, *dict.fromkeys(["doc_id", "text", *dims]))
+    table = docs if number is None else docs.withColumn("_number", number)
+    table = pick(table, *dict.fromkeys(["doc_id", "text", *dims, *([] if number is None else ["_number"])]))
     cells = _quantised(table, list(dims), bits)
 
     @F.pandas_udf("long")
@@ -101,7 +124,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         curve(*cells).alias("curve"),
-        F.monotonically_increasing_id().alias("input"),
+        (F.monotonically_increasing_id() if number is None else F.col("_number")).alias("input"),
     )
     ordered = rows.repartitionByRange("curve", "text_crc32", "doc_id", "input").sortWithinPartitions("curve", "text_crc32", "doc_id", "input")
     placed = written(ordered.withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "hilbert")
@@ -119,11 +142,12 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("
 def write_shards(docs: DataFrame, folder: str, shards: int = 24, dims: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5) -> None:
     """Writes docs as Parquet, a folder ``shard=<n>`` each, in curve order.
 
-    docs must be read from files, so that a row's place in it is the same twice.
-    A shard is written by one task, so choose as many as make files of a good size.
+    The rows are numbered once and written, so that both passes read the same
+    numbers, however the files of docs are split. A shard is written by one task, so choose as many as make files of a good size.
     """
-    placed = hilbert_shards(docs, shards, dims, bits).select(F.col("input").alias("_input"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows = docs.withColumn("_input", F.monotonically_increasing_id()).join(placed, "_input").drop("_input")
+    numbered = written(docs.withColumn("_input", F.monotonically_increasing_id()), "numbered")
+    placed = hilbert_shards(numbered, shards, dims, bits, F.col("_input")).select(F.col("input").alias("_input"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows = numbered.join(placed, "_input").drop("_input")
     dealt = rows.repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_slot").drop("_slot")
     dealt.withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(folder)
 

@@ -139,6 +139,34 @@ def test_pieces_with_their_ids(spark):
         assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
 
 
+def test_strings_are_cut_in_their_order(spark):
+    names = ["https://b.example/x", "https://a.example", "https://zz", "https://a.example/long/path", None, "https://m"] + [f"https://n{i:03d}" for i in range(200)]
+    table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "source string, n int")
+    cell = hilbert_shards._quantised(table, ["source", "n"], 5)
+    rows = sorted((r.source, r.cell) for r in table.select("source", cell[0].alias("cell")).collect() if r.source is not None)
+    assert [c for _, c in rows] == sorted(c for _, c in rows) and len({c for _, c in rows}) > 24
+    same = spark.createDataFrame([("s", None)] * 3, "source string, n int")
+    assert {tuple(r) for r in same.select(*hilbert_shards._quantised(same, ["source", "n"], 5)).collect()} == {(1, 0)}
+
+
+def test_shards_are_the_same_whatever_the_splits(spark, tmp_path):
+    rows = [(i % 50, f"text {i}", f"s{i % 7}", "en", i % 9) for i in range(900)] + [(1, "x" * 200000, "s1", None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").coalesce(3).write.parquet(str(tmp_path / "in"))
+    read = hilbert_shards.hilbert_shards
+
+    def replanned(*args, **named):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        return read(*args, **named)
+
+    hilbert_shards.hilbert_shards = replanned
+    try:
+        hilbert_shards.write_shards(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out"), 4)
+    finally:
+        hilbert_shards.hilbert_shards = read
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert Counter((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == Counter((i, t) for i, t, *_ in rows)
+
+
 def test_written_shards_can_be_pruned(spark, tmp_path):
     rows = [(i, f"text {i}", f"s{i % 7}", ["en", "de"][i % 2], i * 37 % 1000) for i in range(2400)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").coalesce(3).write.parquet(str(tmp_path / "in"))
