@@ -14,8 +14,11 @@ Everything runs on DataFrame functions. Lines are compared without blanks at
 their ends; blank lines are neither counted nor dropped. A page counts once
 for each distinct line. Defined results: a null text stays null and counts as
 a page; a null site is a site of its own; repeated rows are pages each; a page
-whose every line goes keeps its row with an empty text; a line on fewer than
-``min_pages`` pages is never dropped.
+whose every line goes keeps its row with an empty text; a text of any length is
+read whole; an empty table gives no rows. On a site of one or two pages every
+line has a share of a half or more, boilerplate or not, so a share tells
+nothing there: a line on fewer than ``min_pages`` pages is never dropped. With
+``min_pages`` 1 the ratio alone decides, and such pages are emptied.
 """
 
 from __future__ import annotations

@@ -57,7 +57,8 @@ def brute_licenses(text, share=license_scan.SHARE):
     for name, template in license_scan.TEMPLATES.items():
         own = set(shingles(cut(template)))
         m = len(cut(template)) - 4
-        for i in range(max(1, len(words) - 4)):
+        marks = [i for i, x in enumerate(shingles(words)) if x in own]
+        for i in sorted({j for k in marks for j in range(max(0, k - 2 * m), k + m + 1)}):
             if len(own & set(shingles(words[max(0, i - m) : i + 2 * m + 4]))) >= share * len(own):
                 out.add(name)
                 break
@@ -78,13 +79,33 @@ def test_license_scan_equals_brute_force(spark):
         rows.append((i, f"{filler(rng.randint(0, 40))} {' '.join(words).upper() if i % 2 else ' '.join(words)}\n{filler(rng.randint(0, 40))}", "en", "s"))
     rows += [(900, None, "en", "s"), (901, "", None, None), (902, "mit license", "en", "s"), (903, "Released under the MIT License. " * 3000, "en", "s"), (904, "Released under the MIT License.", "en", "s"), (904, "Released under the MIT License.", "en", "s")]
     got = license_scan.license_scan(docs(spark, rows)).collect()
-    want = {(i, n) for i, t, *_ in rows if i != 903 for n in brute_licenses(t)} | {(903, "mit")}
+    want = {(i, n) for i, t, *_ in rows for n in brute_licenses(t)}
     assert {(r.doc_id, r.template) for r in got} == want and len(got) == len(want)
+    assert {(r.doc_id, r.template) for r in got if r.doc_id == 903} == {(903, "mit")}
+    with pytest.raises(ValueError, match="more than"):
+        license_scan.license_scan(docs(spark, rows), {"x": "w " * 60000})
     with pytest.raises(ValueError, match="fewer than"):
         license_scan.license_scan(docs(spark, rows), {"x": "too short"})
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("width", "shared"), [(4, 2), (4, 3), (16, 8), (16, 12)])
+def test_bands_collide_as_often_as_stated(spark, width, shared):
+    # Pairs of windows of ``width`` hashes, ``shared`` of them in common: J = shared / (2 width - shared).
+    rng, n = random.Random(width + shared), 3000
+    rows = []
+    for _ in range(n):
+        own = [rng.getrandbits(63) for _ in range(2 * width - shared)]
+        rows.append((own[:width], own[width - shared :]))
+    keys = spark.createDataFrame(rows, "a array<long>, b array<long>").select(license_scan._least(F.col("a")).alias("a"), license_scan._least(F.col("b")).alias("b")).collect()
+    one = [sum(r.a[i] == r.b[i] for r in keys) / n for i in range(license_scan.BANDS)]
+    any_ = sum(any(x == y for x, y in zip(r.a, r.b)) for r in keys) / n
+    j = shared / (2 * width - shared)
+    assert all(abs(x - j) < 5 * (j * (1 - j) / n) ** 0.5 for x in one)
+    due = 1 - (1 - j) ** license_scan.BANDS
+    assert abs(any_ - due) < 5 * (due * (1 - due) / n) ** 0.5 + 1e-3 and due > 0.99
+
+
 def mixture(spark, n=240):
     rng = random.Random(3)
     rows, labels = [], []

@@ -56,7 +56,7 @@ def test_op3(spark, documents):
 
 def test_op4(spark, documents):
     got = run(spark, "op4_license_scan").collect()
-    assert {(r.doc_id, r.template) for r in got} == {(i, n) for i, r in documents.items() if len(r.text or "") < 6000 for n in brute_licenses(r.text)} | {(r.doc_id, r.template) for r in got if len(documents[r.doc_id].text) >= 6000}
+    assert {(r.doc_id, r.template) for r in got} == {(i, n) for i, r in documents.items() for n in brute_licenses(r.text)} and len(got) > 0
 
 
 def test_op5(spark, documents):
