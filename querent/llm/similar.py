@@ -11,13 +11,17 @@ Any order is right; a good one puts rare shingles first. The order is by the
 count in a sample of the rows (common ones last), then by hash, so the sample
 affects the cost alone.
 
-Pairs are verified in two rounds, so that a large group isn't paired out: first
-each key's rows with the key's least row, then, under keys whose rows are not
-yet all connected, the pairs across components.
+Pairs are verified in three rounds, so that a large group isn't paired out:
+first those whose SimHash fingerprints lie within a few bits (a fingerprint's
+sets with its least one, and what the trie join links), then each key's rows
+with the key's least row, then, under keys whose rows are not yet all
+connected, the pairs across components. A round verifies only pairs that the
+rounds before left in different components.
 
 Defined results: texts without words are equal to each other; a text of fewer
 words than a shingle is one shingle; words are separated by ASCII white space
-and A-Z are folded; repeated rows are rows each.
+and A-Z are folded; repeated rows are rows each; texts of any length are read
+whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,16 +35,19 @@ from pyspark.sql import functions as F
 
 from querent.llm.components import components
 from querent.llm.shared import FOLD, texts, written
+from querent.llm.trie import BUDGET, trie_links
 
 WORDS = 5
 LEAST = 0.8
 SEED = 43
 #: One row of so many is counted for the order of shingles; at most COMMON of the shingles seen OFTEN are told apart.
 SAMPLED, COMMON, OFTEN = 16, 100_000, 3
-_PRINTS = "row long, digest binary, size int, prefix array<long>"
+_PRINTS = "row long, digest binary, size int, fingerprint long, prefix array<long>"
 _SETS = "node long, shingles binary"
 #: Shingles of a batch that goes back at once.
 HELD = 1 << 18
+#: Rows of a list of numbers up to which it is broadcast; a longer one is shuffled.
+SMALL = 1 << 20
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -55,6 +62,14 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(p, SEED) for p in parts), dtype=np.uint64, count=n))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def needed(n: int, least: float) -> int:
     """The least overlap with which a set of n shingles can reach the similarity."""
     return int(np.ceil(least * n - 1e-9))
@@ -66,9 +81,9 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, words: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list) -> pa.RecordBatch:
-            row, digest, size, prefix = zip(*rows, strict=True)
+            row, digest, size, prints, prefix = zip(*rows, strict=True)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefix])], pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists], ["row", "digest", "size", "prefix"])
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(prints, pa.int64()), lists], ["row", "digest", "size", "fingerprint", "prefix"])
 
         rows, held = [], 0
         for batch in batches:
@@ -80,7 +95,7 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, words: int, least: float):
                     i = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     place = np.where(common[i] == own, rank[i], 0)
                 prefix = own[np.lexsort((own, place))][: n - needed(n, least) + 1]
-                rows.append((batch.column(0)[at].as_py(), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, prefix))
+                rows.append((batch.column(0)[at].as_py(), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, majority(own), prefix))
                 held += len(prefix)
                 if held >= HELD or len(rows) >= 4096:
                     yield out(rows)
@@ -146,32 +161,46 @@ def _reach(a: str, b: str, least: float):
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float, label: str) -> DataFrame:
     """Of the pairs (u, v) those whose whole sets are similar."""
     pairs = written(pairs.distinct(), f"{label}-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = written(texts(rows.join(wanted, rows["row"] == wanted["node"], "left_semi"), "row", "text").mapInArrow(_sets(words), _SETS), f"{label}-sets")
+    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{label}-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    sets = written(texts(rows.join(few, rows["row"] == few["node"], "left_semi"), "row", "text").mapInArrow(_sets(words), _SETS), f"{label}-sets")
     one, two = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     joined = pairs.join(one, "u").join(two, "v")
     return written(texts(joined, "u", "v", "x", "y").mapInArrow(_alike(least), "u long, v long"), f"{label}-links")
 
 
-def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) those in different components of part (node, component)."""
+    one, two = (part.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("u", "c_u"), ("v", "c_v")))
+    found = pairs.join(one, "u", "left").join(two, "v", "left")
+    return found.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+
+
+def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST, budget: int = BUDGET) -> DataFrame:
     """row and root (a row of its group) for every row; rows has row (distinct longs) and text."""
     common, rank = _order(rows, words)
     prints = written(texts(rows, "row", "text").mapInArrow(_prefixes(common, rank, words, least), _PRINTS), "prints")
-    distinct = written(prints.groupBy("digest").agg(F.min("row").alias("node")), "distinct-sets")
+    distinct = written(prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("fingerprint").alias("fingerprint")), "distinct-sets")
+    heads = written(distinct.groupBy("fingerprint").agg(F.min("node").alias("head")), "heads")
+    same = distinct.join(heads, "fingerprint").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    ends = [heads.select(F.col("fingerprint").alias(x), F.col("head").alias(y)) for x, y in (("u", "h"), ("v", "k"))]
+    close = trie_links(heads, budget=budget).join(ends[0], "u").join(ends[1], "v").select(F.least("h", "k").alias("u"), F.greatest("h", "k").alias("v"))
+    links = _verified(same.unionByName(close), rows, words, least, "trie")
+    part = written(components(links), "trie-parts")
     firsts = prints.join(distinct.select("node"), F.col("row") == F.col("node"), "left_semi")
     keyed = firsts.select(F.col("row").alias("node"), "size", F.posexplode("prefix").alias("place", "key"))
     least_row = F.min(F.struct("node", "size", "place"))
     shared = written(keyed.groupBy("key").agg(least_row.alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "shared-keys")
     met = written(keyed.join(shared, "key").select("key", "a", F.struct("node", "size", "place").alias("b")), "met")
-    stars = met.where("a.node < b.node").where(_reach("a", "b", least)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    links = _verified(stars, rows, words, least, "star")
+    stars = met.where("a.node < b.node").where(_reach("a", "b", least)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    links = links.unionByName(_verified(_apart(stars, part), rows, words, least, "star"))
     part = written(components(links), "star-parts")
     placed = met.select("key", "b", F.col("b.node").alias("node")).join(part, "node", "left").select("key", "b", F.coalesce("component", "node").alias("part"))
     open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     left = written(placed.join(open_, "key"), "open-keys")
     a, b = left.select("key", F.col("b").alias("a"), F.col("part").alias("own")), left.select("key", "b", "part")
     across = a.join(b, "key").where("own <> part and a.node < b.node").where(_reach("a", "b", least)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    links = links.unionByName(_verified(across.join(stars.distinct(), ["u", "v"], "left_anti"), rows, words, least, "across"))
+    links = links.unionByName(_verified(across.join(stars, ["u", "v"], "left_anti"), rows, words, least, "across"))
     joined = components(links)
     named = distinct.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("root"))
     return prints.select("row", "digest").join(named, "digest").select("row", "root")
