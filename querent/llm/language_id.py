@@ -53,6 +53,8 @@ DRAWN = 4
 #: Most languages that are learned, the most frequent first.
 MOST_LABELS = 500
 TABLE = 1 << 15
+#: Bits of the hash by which n-grams of the training text are known again.
+SEEN = 22
 CORE, CONTEXT = 128, 12
 SEED = 5
 UNKNOWN = "und"
@@ -65,7 +67,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all words, flat, and where each word's begin."""
+    """n-grams of all words as 32-bit hashes, flat, and where each word's begin."""
     flat = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32)
     length = np.array([len(w) + 2 for w in words])
     ends = np.repeat(np.cumsum(length), length)
@@ -77,11 +79,11 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n:
             fits = place + n < ends
             own.append(place[fits])
-            hashes.append((code[fits] * np.uint32(0x9E3779B1)) >> np.uint32(17))
+            hashes.append(code[fits] * np.uint32(0x9E3779B1))
     order = np.argsort(np.concatenate(own), kind="stable")
     word = np.repeat(np.arange(len(words)), length)
     starts = np.searchsorted(word[np.concatenate(own)[order]], np.arange(len(words)))
-    return np.concatenate(hashes)[order].astype(np.int64), starts
+    return np.concatenate(hashes)[order], starts
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,10 +127,19 @@ class LanguageModel:
         self.lexicon = {w: i for i, w in enumerate(lexicon)}
         self.entries = np.zeros((len(lexicon) + 1, len(labels)))  # the last: not in the lexicon
         self.move = np.eye(len(labels))
+        self.seen = np.zeros(1 << SEEN, bool)
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         index, starts = grams(words)
-        return index, starts, np.array([self.lexicon.get(w, len(self.lexicon)) for w in words])
+        return (index >> np.uint32(17)).astype(np.int64), starts, np.array([self.lexicon.get(w, len(self.lexicon)) for w in words])
+
+    def familiar(self, words: list[str]) -> np.ndarray:
+        """The share of each word's n-grams that the training text has."""
+        if not words:
+            return np.zeros(0)
+        index, starts = grams(words)
+        count = np.diff(np.r_[starts, len(index)])
+        return np.add.reduceat(self.seen[index >> np.uint32(32 - SEEN)].astype(float), starts) / count
 
     def potentials(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -142,6 +153,7 @@ class LanguageModel:
         rng = np.random.default_rng(SEED)
         names = list(dict.fromkeys(w for ws, _ in chains for w in ws))
         place = {w: i for i, w in enumerate(names)}
+        self.seen[grams(names)[0] >> np.uint32(32 - SEEN)] = True
         index, starts, entry = self.features(names)
         count = np.diff(np.r_[starts, len(index)])
         coded = [(np.array([place[w] for w in ws]), y) for ws, y in chains]
@@ -223,6 +235,7 @@ class WordTable:
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
         self.emission = np.zeros((self.most + 1, len(self.model.labels)), np.float32)
+        self.familiar = np.zeros(self.most + 1, np.float32)
 
     def rows(self, docs: list[list[str]]) -> tuple[list[list[int]], np.ndarray]:
         new = list({w for d in docs for w in d} - self.row.keys())
@@ -231,9 +244,11 @@ class WordTable:
             new = list({w for d in docs for w in d})
             if len(new) > self.most:  # one text alone has that many
                 self.emission = np.zeros((len(new), len(self.model.labels)), np.float32)
+                self.familiar = np.zeros(len(new), np.float32)
         for at in range(0, len(new), 20_000):
             part, have = new[at : at + 20_000], len(self.row)
             self.emission[have : have + len(part)] = self.model.potentials(part)
+            self.familiar[have : have + len(part)] = self.model.familiar(part)
             self.row.update(zip(part, range(have, have + len(part)), strict=True))
         get = self.row.__getitem__
         return [list(map(get, d)) for d in docs], self.emission
@@ -305,26 +320,32 @@ def _predict(model):
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 docs = [words_of(t) for t in part.column(at_text).to_pylist()]
-                labels, scores = [UNKNOWN] * len(docs), [0.0] * len(docs)
+                labels, scores, known = [UNKNOWN] * len(docs), [0.0] * len(docs), [0.0] * len(docs)
                 if own:
-                    mass = own.masses(*table.rows(docs))
-                    for i, m in enumerate(mass):
+                    coded, emission = table.rows(docs)
+                    for i, m in enumerate(own.masses(coded, emission)):
                         if len(docs[i]):
+                            known[i] = float(table.familiar[coded[i]].mean())
                             labels[i], scores[i] = own.labels[int(m.argmax())], min(1.0, float(m.max() / m.sum()))
                 names = [n for n in part.schema.names if n != "_text"]
                 kept = [part.column(part.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())], [*names, "_lang_pred", "_score", "_familiar"])
 
     return run
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep`` with _lang_pred and _score; docs has a column text."""
+    """The columns ``keep`` with _lang_pred, _score and _familiar; docs has a column text.
+
+    _familiar is the mean share of a word's n-grams that the training text has,
+    which is evidence of the text being in one of its languages at all, however
+    many those are; 0 where nothing is predicted.
+    """
     from pyspark.sql import types as T
 
     base = texts(docs, *dict.fromkeys([*keep, "text"]))
     fields = [base.schema[k] for k in keep]
-    out = T.StructType([*fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    out = T.StructType([*fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_familiar", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return base.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).mapInArrow(_predict(shared), out)
 

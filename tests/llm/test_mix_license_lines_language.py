@@ -179,6 +179,9 @@ def test_language_id_on_held_out_and_switching_text(spark):
     assert [by_id[i]._lang_pred for i in (1000, 1001, 1002, 1004, 1005)] == ["und"] * 5 and by_id[1000]._score == 0
     assert by_id[1003]._lang_pred == "bb" and by_id[None]._lang_pred == "cc"
     assert all(0 <= r._score <= 1 and r.words == "x" for r in got)
+    assert all(r._familiar > 0.9 for r in got if r._lang_pred != "und") and by_id[1000]._familiar == 0
+    junk = [(i, " ".join("".join(rng.choices("bcdfgjklmnpqvxyz", k=7)) for _ in range(30)), None, None) for i in range(20)]
+    assert all(r._lang_pred != "und" and r._familiar < 0.5 for r in language_id.identify(docs(spark, junk), model, ("doc_id",)).collect())
     known = [r for r in got if r.doc_id is not None and r.doc_id < 300]
     assert sum(r._lang_pred == r.lang for r in known) / len(known) > 0.97
     assert language_id.learn([]) is None
