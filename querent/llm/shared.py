@@ -6,12 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of a list of numbers up to which it is broadcast: some 30 MB.
+SMALL = 1 << 20
 #: bytes.translate table that lower-cases A-Z only.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -44,16 +44,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def runs(keys: list) -> Iterator[tuple[int, int]]:
-    """(start, end) of each run of equal neighbours."""
-    start = 0
-    for i in range(1, len(keys) + 1):
-        if i == len(keys) or keys[i] != keys[start]:
-            yield start, i
-            start = i
+def released(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles of finished jobs.
+
+    Spark removes a shuffle once the driver's collector finds that nothing
+    refers to it, which may be long after; large ones are worth asking for.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def only(table: DataFrame, column: str, numbers: DataFrame) -> DataFrame:
+    """The rows whose column is among ``numbers``, a written table of one column of distinct longs.
+
+    It is broadcast if it has SMALL rows at most; a longer one is shuffled.
+    """
+    few = F.broadcast(numbers) if numbers.count() <= SMALL else numbers
+    return table.join(few, table[column] == few[numbers.columns[0]], "left_semi")
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -73,18 +89,19 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-#: Rows of an Arrow batch that holds whole texts; Spark's own default is ten times as many.
-TEXT_BATCH = 1000
+#: Bounds of an Arrow batch that holds whole texts, each after Spark's own default.
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
 
 
 def texts(df: DataFrame, *names: str) -> DataFrame:
     """As :func:`pick`, for Python stages over whole texts: their Arrow batches are kept small.
 
-    A batch is buffered on both sides of the worker's pipe, so its size times
-    the length of a text bounds memory. A session that has set its own batch
-    size keeps it.
+    A batch is buffered on both sides of the worker's pipe, so it is bounded by
+    rows and by bytes. These are settings of the session, read when a plan is
+    run; one that the session has set itself is kept.
     """
     conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    for key, (default, small) in TEXT_BATCH.items():
+        if conf.get(key, None) == default:
+            conf.set(key, small)
     return pick(df, *names)

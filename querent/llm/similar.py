@@ -16,7 +16,13 @@ first those whose SimHash fingerprints lie within a few bits (a fingerprint's
 sets with its least one, and what the trie join links), then each key's rows
 with the key's least row, then, under keys whose rows are not yet all
 connected, the pairs across components. A round verifies only pairs that the
-rounds before left in different components.
+rounds before left in different components. Before whole sets are compared,
+pairs go that cannot reach s by their bins: a set's hashes are counted in about
+half as many bins as it has, and the sum of the lesser counts is at least the
+overlap. Bins are a fourteenth of a set's size and spare most of the pairs.
+
+What is shuffled is narrow: the keys alone to find those that two texts share,
+then (key, row, size and place) of these.
 
 Defined results: texts without words are equal to each other; a text of fewer
 words than a shingle is one shingle; words are separated by ASCII white space
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.components import components
-from querent.llm.shared import FOLD, texts, written
+from querent.llm.shared import FOLD, only, released, texts, written
 from querent.llm.trie import BUDGET, trie_links
 
 WORDS = 5
@@ -42,12 +48,10 @@ LEAST = 0.8
 SEED = 43
 #: One row of so many is counted for the order of shingles; at most COMMON of the shingles seen OFTEN are told apart.
 SAMPLED, COMMON, OFTEN = 16, 100_000, 3
-_PRINTS = "row long, digest binary, size int, fingerprint long, prefix array<long>"
+_PRINTS = "row long, digest binary, size int, fingerprint long, bins binary, prefix array<long>"
 _SETS = "node long, shingles binary"
 #: Shingles of a batch that goes back at once.
 HELD = 1 << 18
-#: Rows of a list of numbers up to which it is broadcast; a longer one is shuffled.
-SMALL = 1 << 20
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -70,6 +74,21 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
+def bins(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each bin, a byte a bin; empty if a count does not fit."""
+    n = 1 << max(4, (len(hashes) - 1).bit_length() - 1)
+    counts = np.bincount((hashes & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_shared(one: bytes, two: bytes) -> float:
+    """A bound on the overlap of two sets by their bins."""
+    if not one or not two:
+        return float("inf")
+    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (one, two)), key=len)
+    return float(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
+
+
 def needed(n: int, least: float) -> int:
     """The least overlap with which a set of n shingles can reach the similarity."""
     return int(np.ceil(least * n - 1e-9))
@@ -81,9 +100,9 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, words: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list) -> pa.RecordBatch:
-            row, digest, size, prints, prefix = zip(*rows, strict=True)
+            row, digest, size, prints, held_in, prefix = zip(*rows, strict=True)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefix])], pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(prints, pa.int64()), lists], ["row", "digest", "size", "fingerprint", "prefix"])
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(prints, pa.int64()), pa.array(held_in, pa.binary()), lists], ["row", "digest", "size", "fingerprint", "bins", "prefix"])
 
         rows, held = [], 0
         for batch in batches:
@@ -95,7 +114,7 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, words: int, least: float):
                     i = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     place = np.where(common[i] == own, rank[i], 0)
                 prefix = own[np.lexsort((own, place))][: n - needed(n, least) + 1]
-                rows.append((batch.column(0)[at].as_py(), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, majority(own), prefix))
+                rows.append((batch.column(0)[at].as_py(), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, majority(own), bins(own), prefix))
                 held += len(prefix)
                 if held >= HELD or len(rows) >= 4096:
                     yield out(rows)
@@ -125,6 +144,17 @@ def _sets(words: int):
     return run
 
 
+def _possible(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            due = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (least / (1 + least)) - 1e-6
+            keep = [most_shared(a, b) >= x for a, b, x in zip(one, two, due, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,18 +182,25 @@ def _order(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _reach(a: str, b: str, least: float):
-    """Whether sets of sizes a.size and b.size whose first shared shingle is at these places can reach the similarity."""
-    size = lambda x: F.col(f"{x}.size")
-    rest = F.least(size(a) - F.col(f"{a}.place"), size(b) - F.col(f"{b}.place"))
+    """Whether sets whose first shared shingle stands as these columns say (size << 32 | place) can reach the similarity."""
+    size = lambda x: F.shiftright(x, 32)
+    rest = F.least(*[size(x) - F.col(x).bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b)])
     return (rest * (1 + least) >= (size(a) + size(b)) * least - 1e-6) & (F.least(size(a), size(b)) >= F.greatest(size(a), size(b)) * least - 1e-6)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float, label: str) -> DataFrame:
+def _ends(pairs: DataFrame, label: str) -> DataFrame:
+    return written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), label)
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words: int, least: float, label: str) -> DataFrame:
     """Of the pairs (u, v) those whose whole sets are similar."""
     pairs = written(pairs.distinct(), f"{label}-pairs")
-    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{label}-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    sets = written(texts(rows.join(few, rows["row"] == few["node"], "left_semi"), "row", "text").mapInArrow(_sets(words), _SETS), f"{label}-sets")
+    own = written(only(prints.select("row", "size", "bins"), "row", _ends(pairs, f"{label}-ends")), f"{label}-bins")
+    one, two = (own.select(F.col("row").alias(n), F.col("size").alias(f"size_{n}"), F.col("bins").alias(f"bins_{n}")) for n in "uv")
+    known = texts(pairs.join(one, "u").join(two, "v"), "u", "v", "size_u", "size_v", "bins_u", "bins_v")
+    pairs = written(known.mapInArrow(_possible(least), "u long, v long"), f"{label}-possible")
+    wanted = only(rows, "row", _ends(pairs, f"{label}-wanted"))
+    sets = written(texts(wanted, "row", "text").mapInArrow(_sets(words), _SETS), f"{label}-sets")
     one, two = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     joined = pairs.join(one, "u").join(two, "v")
     return written(texts(joined, "u", "v", "x", "y").mapInArrow(_alike(least), "u long, v long"), f"{label}-links")
@@ -185,22 +222,28 @@ def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST, budge
     same = distinct.join(heads, "fingerprint").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     ends = [heads.select(F.col("fingerprint").alias(x), F.col("head").alias(y)) for x, y in (("u", "h"), ("v", "k"))]
     close = trie_links(heads, budget=budget).join(ends[0], "u").join(ends[1], "v").select(F.least("h", "k").alias("u"), F.greatest("h", "k").alias("v"))
-    links = _verified(same.unionByName(close), rows, words, least, "trie")
+    links = _verified(same.unionByName(close), prints, rows, words, least, "trie")
     part = written(components(links), "trie-parts")
-    firsts = prints.join(distinct.select("node"), F.col("row") == F.col("node"), "left_semi")
-    keyed = firsts.select(F.col("row").alias("node"), "size", F.posexplode("prefix").alias("place", "key"))
-    least_row = F.min(F.struct("node", "size", "place"))
-    shared = written(keyed.groupBy("key").agg(least_row.alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "shared-keys")
-    met = written(keyed.join(shared, "key").select("key", "a", F.struct("node", "size", "place").alias("b")), "met")
-    stars = met.where("a.node < b.node").where(_reach("a", "b", least)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    links = links.unionByName(_verified(_apart(stars, part), rows, words, least, "star"))
+    firsts = only(prints, "row", written(distinct.select("node"), "firsts"))
+    keys = firsts.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keys.select("key"), "shared-keys")
+    at = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    keyed = firsts.select("row", "size", F.posexplode("prefix").alias("place", "key")).select("key", F.col("row").alias("node"), at.alias("at"))
+    met = written(keyed.join(shared, "key"), "met")
+    released(shared)
+    lowest = met.groupBy("key").agg(F.min(F.struct("node", "at")).alias("low")).select("key", F.col("low.node").alias("u"), F.col("low.at").alias("at_u"))
+    stars = met.join(lowest, "key").where("u < node").where(_reach("at_u", "at", least)).select("u", F.col("node").alias("v")).distinct()
+    stars = written(stars, "stars")
+    links = links.unionByName(_verified(_apart(stars, part), prints, rows, words, least, "star"))
     part = written(components(links), "star-parts")
-    placed = met.select("key", "b", F.col("b.node").alias("node")).join(part, "node", "left").select("key", "b", F.coalesce("component", "node").alias("part"))
+    placed = met.join(part, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("part"))
     open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     left = written(placed.join(open_, "key"), "open-keys")
-    a, b = left.select("key", F.col("b").alias("a"), F.col("part").alias("own")), left.select("key", "b", "part")
-    across = a.join(b, "key").where("own <> part and a.node < b.node").where(_reach("a", "b", least)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    links = links.unionByName(_verified(across.join(stars, ["u", "v"], "left_anti"), rows, words, least, "across"))
+    released(met)
+    one, two = (left.select("key", F.col("node").alias(n), F.col("at").alias(f"at_{n}"), F.col("part").alias(f"part_{n}")) for n in "uv")
+    across = one.join(two, "key").where("part_u <> part_v and u < v").where(_reach("at_u", "at_v", least)).select("u", "v")
+    links = links.unionByName(_verified(across.join(stars, ["u", "v"], "left_anti"), prints, rows, words, least, "across"))
+    released(left, stars)
     joined = components(links)
     named = distinct.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("root"))
     return prints.select("row", "digest").join(named, "digest").select("row", "root")

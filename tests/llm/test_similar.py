@@ -32,6 +32,19 @@ def edited():
     return [*out, None, "", " \n", out[0].upper(), "a b", "A  b", "a b c"]
 
 
+def test_bins_bound_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, m, both in ((1, 1, 0), (40, 33, 20), (450, 520, 400), (5000, 4100, 3900), (10, 4000, 3), (450, 450, 0)):
+        x = rng.integers(0, 1 << 64, n + m, dtype=np.uint64, endpoint=False)
+        a, b = x[:n], np.concatenate([x[: min(both, n)], x[n:]])[:m]
+        assert similar.most_shared(similar.bins(a), similar.bins(b)) >= len(set(a) & set(b))
+    assert similar.most_shared(similar.bins(a), similar.bins(b)) < 0.8 * 450
+    same = np.full(300, 5, np.uint64)
+    assert similar.bins(same) == b"" and similar.most_shared(b"", similar.bins(a)) == float("inf")
+
+
 def test_near_copies_equal_all_pairs(spark):
     texts = edited()
     sets = [brute_shingles(t) for t in texts]
