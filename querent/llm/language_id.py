@@ -56,6 +56,8 @@ TABLE = 1 << 15
 #: Bits of the hash by which n-grams of the training text are known again.
 SEEN = 22
 CORE, CONTEXT = 128, 12
+#: Words whose weights are looked up at once, and windows that are labelled at once.
+NEW, WINDOWS = 4000, 256
 SEED = 5
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}+")
@@ -205,8 +207,8 @@ class LanguageModel:
         begin = np.cumsum(lengths) - lengths
         doc, first, lo, hi = windows(lengths)
         size = np.minimum(hi + CONTEXT, lengths[doc] - first)
-        for at in range(0, len(doc), 512):
-            part = slice(at, at + 512)
+        for at in range(0, len(doc), WINDOWS):
+            part = slice(at, at + WINDOWS)
             place = np.arange(size[part].max())[None, :]
             inside = place < size[part][:, None]
             words = np.where(inside, (begin[doc[part]] + first[part])[:, None] + place, 0)
@@ -228,7 +230,7 @@ class LanguageModel:
 class WordTable:
     """Emission rows of words seen so far; most bounds how many are held."""
 
-    def __init__(self, model: LanguageModel, most: int = 150_000):
+    def __init__(self, model: LanguageModel, most: int = 100_000):
         self.model, self.most = model, most
         self._clear()
 
@@ -245,8 +247,8 @@ class WordTable:
             if len(new) > self.most:  # one text alone has that many
                 self.emission = np.zeros((len(new), len(self.model.labels)), np.float32)
                 self.familiar = np.zeros(len(new), np.float32)
-        for at in range(0, len(new), 20_000):
-            part, have = new[at : at + 20_000], len(self.row)
+        for at in range(0, len(new), NEW):
+            part, have = new[at : at + NEW], len(self.row)
             self.emission[have : have + len(part)] = self.model.potentials(part)
             self.familiar[have : have + len(part)] = self.model.familiar(part)
             self.row.update(zip(part, range(have, have + len(part)), strict=True))

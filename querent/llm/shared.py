@@ -90,7 +90,7 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 #: Bounds of an Arrow batch that holds whole texts, each after Spark's own default.
-TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(1 << 20))}
 
 
 def texts(df: DataFrame, *names: str) -> DataFrame:

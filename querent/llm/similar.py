@@ -51,7 +51,7 @@ SAMPLED, COMMON, OFTEN = 16, 100_000, 3
 _PRINTS = "row long, digest binary, size int, fingerprint long, bins binary, prefix array<long>"
 _SETS = "node long, shingles binary"
 #: Shingles of a batch that goes back at once.
-HELD = 1 << 18
+HELD = 1 << 16
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -113,10 +113,10 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, words: int, least: float):
                 if len(common) and n:
                     i = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     place = np.where(common[i] == own, rank[i], 0)
-                prefix = own[np.lexsort((own, place))][: n - needed(n, least) + 1]
+                prefix = own[np.lexsort((own, place))[: n - needed(n, least) + 1]]
                 rows.append((batch.column(0)[at].as_py(), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, majority(own), bins(own), prefix))
                 held += len(prefix)
-                if held >= HELD or len(rows) >= 4096:
+                if held >= HELD or len(rows) >= 1024:
                     yield out(rows)
                     rows, held = [], 0
         if rows:
