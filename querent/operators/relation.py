@@ -95,7 +95,7 @@ class TableRelation(Relation):
         return self.model.names()
 
     def frame(self, scope: Scope) -> DataFrame:
-        table = scope.db.table(self.model.__table__)
+        table = scope.db.table(self.model.__table__, self.model.schema())
         return table.select(*[F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(self.model.names())])
 
 

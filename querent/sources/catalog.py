@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -69,14 +71,14 @@ def not_null(system: str, flag: object) -> bool:
 COLUMN_QUERIES = {
     "postgresql": "SELECT a.attname, t.typname, a.attnotnull FROM pg_attribute a JOIN pg_class c ON a.attrelid = c.oid JOIN pg_namespace n ON c.relnamespace = n.oid JOIN pg_type t ON a.atttypid = t.oid WHERE n.nspname = '{schema}' AND c.relname = '{table}' AND a.attnum > 0 AND NOT a.attisdropped ORDER BY a.attnum",
     "mysql": "SELECT column_name, upper(data_type), is_nullable FROM information_schema.columns WHERE table_schema = '{schema}' AND table_name = '{table}' ORDER BY ordinal_position",
-    "oracle": "SELECT column_name, data_type, nullable FROM dba_tab_columns WHERE owner = '{schema}' AND table_name = '{table}' ORDER BY column_id",
+    "oracle": "SELECT column_name, data_type, nullable, data_scale FROM dba_tab_columns WHERE owner = '{schema}' AND table_name = '{table}' ORDER BY column_id",
     "sqlserver": "SELECT c.name, t.name, c.is_nullable FROM sys.columns c JOIN sys.types t ON c.user_type_id = t.user_type_id WHERE c.object_id = OBJECT_ID('{schema}.{table}') ORDER BY c.column_id",
     "sqlite3": "SELECT name, type, \"notnull\" FROM pragma_table_info('{table}') ORDER BY cid",
     "db2": "SELECT colname, typename, nulls FROM syscat.columns WHERE tabschema = '{schema}' AND tabname = '{table}' ORDER BY colno",
 }
 #: Primary-key columns of a table, in key order.
 KEY_QUERIES = {
-    "postgresql": "SELECT a.attname FROM pg_constraint k JOIN pg_class c ON k.conrelid = c.oid JOIN pg_namespace n ON c.relnamespace = n.oid CROSS JOIN unnest(k.conkey) WITH ORDINALITY AS u(attnum, place) JOIN pg_attribute a ON a.attrelid = c.oid AND a.attnum = u.attnum WHERE k.contype = 'p' AND n.nspname = '{schema}' AND c.relname = '{table}' ORDER BY u.place",
+    "postgresql": "SELECT a.attname FROM pg_constraint k JOIN pg_class c ON k.conrelid = c.oid JOIN pg_namespace n ON c.relnamespace = n.oid JOIN pg_attribute a ON a.attrelid = c.oid AND array_position(k.conkey, a.attnum) IS NOT NULL WHERE k.contype = 'p' AND n.nspname = '{schema}' AND c.relname = '{table}' ORDER BY array_position(k.conkey, a.attnum)",
     "mysql": "SELECT k.column_name FROM information_schema.table_constraints t JOIN information_schema.key_column_usage k ON t.constraint_schema = k.constraint_schema AND t.table_name = k.table_name AND t.constraint_name = k.constraint_name WHERE t.constraint_type = 'PRIMARY KEY' AND t.table_schema = '{schema}' AND t.table_name = '{table}' ORDER BY k.ordinal_position",
     "oracle": "SELECT k.column_name FROM dba_constraints c JOIN dba_cons_columns k ON c.owner = k.owner AND c.constraint_name = k.constraint_name WHERE c.constraint_type = 'P' AND c.owner = '{schema}' AND c.table_name = '{table}' ORDER BY k.position",
     "sqlserver": "SELECT c.name FROM sys.indexes i JOIN sys.index_columns x ON i.object_id = x.object_id AND i.index_id = x.index_id JOIN sys.columns c ON x.object_id = c.object_id AND x.column_id = c.column_id WHERE i.is_primary_key = 1 AND i.object_id = OBJECT_ID('{schema}.{table}') ORDER BY x.key_ordinal",
@@ -98,12 +100,14 @@ def model_of(system: str, table: str, columns: list[tuple], key: list[str], over
     return type(table.title().replace("_", ""), (Model,), {"__table__": table, "__key__": tuple(lower), **fields})
 
 
-def read_catalog(spark: SparkSession, system: str, url: str, schema: str, table: str, **options: str) -> type[Model]:
-    """A model of a database's table, by its own catalog over JDBC."""
+def read_catalog(spark: SparkSession, system: str, url: str, schema: str, table: str, run: Callable[[str], DataFrame] | None = None, **options: str) -> type[Model]:
+    """A model of a database's table, by its own catalog over JDBC, or by ``run``, which gives the rows of a query."""
     if "'" in schema + table:
         raise ValueError("quotes in a name")
 
     def rows(text: str) -> DataFrame:
+        if run:
+            return run(text.format(schema=schema, table=table))
         return spark.read.format("jdbc").options(url=url, query=text.format(schema=schema, table=table), **options).load()
 
     columns = [tuple(r) for r in rows(COLUMN_QUERIES[system]).collect()]

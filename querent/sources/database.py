@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from querent.functions.expr import Scope
 from querent.operators.relation import Relation, as_relation
@@ -20,13 +21,15 @@ class Database:
     def __init__(self, spark: SparkSession, folder: str | None = None, store: Any = None, frames: dict[str, DataFrame] | None = None):
         self.spark, self.folder, self.store, self.frames = spark, folder, store, dict(frames or {})
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, schema: StructType | None = None) -> DataFrame:
+        """The table; with a model's schema the files of a folder need not be looked into before the query runs."""
         if self.store is not None and self.store.exists(name):
             return self.store.read(name)
         if name in self.frames:
             return self.frames[name]
         if self.folder is not None:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+            return reader.parquet(f"{self.folder}/{name}.parquet")
         return self.spark.table(name)
 
     def expose(self) -> None:

@@ -64,6 +64,73 @@ def test_transactions_see_themselves_and_roll_back(store):
     assert {v[1] for v in rows(store).values()} == {7}
 
 
+def test_a_transaction_publishes_all_its_tables_or_none(store, spark):
+    store.create(SetB)
+    with pytest.raises(Conflict, match="keytest"), store.transaction() as tx:
+        tx.insert(SetB, [SetB(1, "a", "b")])
+        tx.delete(KeyTest)
+        store.update(KeyTest, lambda a, r: a.assign("baz", 7))
+    assert store.read("set_b").count() == 0 and {v[1] for v in rows(store).values()} == {7}
+    # A writer that was overtaken by one of another table tries again and loses nothing.
+    with store.transaction() as tx:
+        tx.update(KeyTest, lambda a, r: a.assign("baz", 8))
+        store.insert(SetB, [SetB(2, "c", "d")])
+    assert {v[1] for v in rows(store).values()} == {8} and store.read("set_b").count() == 1
+    last = store.versions()[-1]
+    store.delete(KeyTest)
+    assert store.read("keytest").count() == 0 and store.read("keytest", last).count() == 4
+
+
+def test_a_version_is_never_replaced(store):
+    tables = store._latest()[1]
+    assert not store._publish(store.versions()[-1], {}) and store._latest()[1] == tables
+    assert not [n for n in store._fs().listStatus(store._path("_versions")) if n.getPath().getName().startswith(".") and not n.getPath().getName().endswith(".crc")]
+
+
+def test_bulk_inserts_and_repeated_keys(store):
+    seen = []
+    assert store.bulk_insert(KeyTest, (("m", 100 + i, "g", "a", 0) for i in range(7)), chunk=3, between=seen.append) == 7 and seen == [3, 6]
+    with pytest.raises(ValueError, match="at least one"):
+        store.bulk_insert(KeyTest, [], chunk=0)
+    assert store.key_update(KeyTest, [KeyTest("n", 3, "f", "one", 1), KeyTest("n", 3, "f", "two", 2), KeyTest("n", 0, "f", "x", 3)]) == 3
+    assert rows(store)[3] == ("two", 2) and store.read("keytest").count() == 11
+
+
+def test_parts_of_raw_statements(store):
+    from querent.sources.rawsql import statement
+
+    own = statement("update t set a = concat('x, WHERE', b, (SELECT max(c) FROM u WHERE d = 1)), `e` = 'it''s' /* where */ where f > 'a;' ;")
+    assert (own.verb, own.table, own.terms, own.where) == ("update", "t", {"a": "concat('x, WHERE', b, (SELECT max(c) FROM u WHERE d = 1))", "e": "'it''s' /* where */"}, "f > 'a;'")
+    own = statement("INSERT INTO t(a, b) VALUES (1, 2)")
+    assert (own.columns, own.rows) == (["a", "b"], "VALUES (1, 2)")
+    assert statement("DELETE FROM t").where == ""
+    for bad in ("DROP TABLE t", "UPDATE t SET a", "DELETE FROM t u"):
+        with pytest.raises(ValueError, match="not an assignment|neither"):
+            statement(bad)
+    with pytest.raises(TypeError, match="twice"):
+        statement("UPDATE t SET a = 1, a = 2")
+    with pytest.raises(TypeError, match="no column"):
+        store.execute("UPDATE keytest SET nope = 1")
+    with pytest.raises(TypeError, match="values for"):
+        store.execute("INSERT INTO keytest (name) VALUES (1, 2)")
+    assert store.execute("DELETE FROM keytest WHERE bar > NULL") == 0 and store.execute("DELETE FROM keytest") == 4
+    with pytest.raises(ValueError, match="one of"):
+        store.prepare("drop")
+
+
+def test_v6_columns_agree_with_the_parser(spark):
+    import random
+
+    rng = random.Random(2)
+    made = [":".join(f"{rng.getrandbits(rng.choice([1, 8, 16])):x}" for _ in range(rng.choice([7, 8, 8, 9]))) for _ in range(60)]
+    made += [x.replace(":0:0:", "::", 1) for x in made] + [f"{x}/{rng.randint(0, 140)}" for x in made] + ["1::", "::1", ":1", "1:", "1:::2", "::1.2.3.4/96", "::1.2.3.256", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7::8", " fe80::1 ", "FE80::A/10", "fe80::1%eth0", "::/", "::/x", "::/1/2", "", None]
+    frame = spark.createDataFrame([(x,) for x in made], "t string")
+    for r in frame.select("t", N.canonical("t").alias("a"), N.cidr_text("t").alias("n"), N.is_cidr("t").alias("c")).collect():
+        own = N.parse(r.t)
+        net = own and N.cidr_masked(own.version, own.host, own.mask)
+        assert (r.a, r.n, r.c) == ((str(own), str(net), own == net) if own else (None, None, None)), r.t
+
+
 def test_nulls_keep_rows_from_delete(spark, tmp_path):
     own = Store(spark, str(tmp_path / "s"))
     own.create(SetB)
@@ -220,10 +287,10 @@ def test_raw_statements(spark, tmp_path):
 def test_only_files_with_affected_rows_are_rewritten(store):
     store.insert(KeyTest, [KeyTest("m", 50, "g", "b", 1)])
     store.insert(KeyTest, [KeyTest("m", 60, "g", "c", 2)])
-    before = set(store._load("keytest")[1]["data"])
+    before = set(store._load("keytest")["data"])
     assert store.update(KeyTest, lambda a, r: a.assign("baz", 9).wheres(r.bar == 50)) == 1
-    after = set(store._load("keytest")[1]["data"])
+    after = set(store._load("keytest")["data"])
     assert len(before & after) == len(before) - 1
-    version = store._load("keytest")[0]
-    assert store.delete(KeyTest, lambda a, r: a.wheres(r.bar == 12345)) == 0 and store._load("keytest")[0] == version
+    version = store.versions()
+    assert store.delete(KeyTest, lambda a, r: a.wheres(r.bar == 12345)) == 0 and store.versions() == version
     assert rows(store)[50] == ("b", 9) and rows(store)[60] == ("c", 2) and len(rows(store)) == 6
