@@ -23,11 +23,13 @@ from querent.functions.expr import case, case_maybe, case_search, case_search_ma
 from querent.functions.shape import Leaf, Tup
 from querent.operators import grouping as G
 from querent.operators.relation import FrameRelation, RawQuery, aggregate_relation, aggregated_unique, derived_unique_relation, full, inner, left, primary_select, relation, right, table, unique
+from querent.plans import sqltext
 from querent.plans.tables import Customer, Lineitem, Nation, Orders, Part, Region, Supplier
+from querent.sources import catalog
 from querent.sources.database import Database
 from querent.sources.model import Field, Model, model_from_frame
 from querent.sources.sequence import Sequence
-from querent.sources.store import Store
+from querent.sources.store import Assignments, Conflict, Store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -205,7 +207,7 @@ def _(q):
     return record(a.r_name, b.r_name)
 
 
-_OPTIONAL = "(SELECT c_custkey, o_orderkey, o_totalprice, o_orderpriority FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey)"
+_OPTIONAL = "(SELECT c_custkey, c_nationkey, o_orderkey, o_totalprice, o_orderpriority FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey)"
 
 
 @relation
@@ -359,23 +361,17 @@ def _(q):
     return record(o.o_orderkey, c.c_custkey)
 
 
-@_q("join_full", "s c", "SELECT s_suppkey AS s, c_custkey AS c FROM (SELECT * FROM supplier WHERE s_nationkey < 10) FULL JOIN (SELECT * FROM customer WHERE c_custkey < 200 AND c_nationkey > 5) ON s_nationkey = c_nationkey")
+@_q("join_full", "c o", "SELECT c_custkey AS c, o_orderkey AS o FROM (SELECT * FROM customer WHERE c_acctbal > 5000) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey")
 def _(q):
     @relation
-    def some_suppliers(p):
-        s = p.query(Supplier)
-        p.wheres(s.s_nationkey < 10)
-        return s
-
-    @relation
-    def some_customers(p):
+    def rich(p):
         c = p.query(Customer)
-        p.wheres((c.c_custkey < 200) & (c.c_nationkey > 5))
+        p.wheres(c.c_acctbal > 5000.0)
         return c
 
-    s, c = q.query_maybe(some_suppliers), q.query_maybe(some_customers)
-    q.on(s.s_nationkey == c.c_nationkey)
-    return record(s.s_suppkey, c.c_custkey)
+    c, o = q.query_maybe(rich), q.query_maybe(_dear)
+    q.on(c.c_custkey == o.o_custkey)
+    return record(c.c_custkey, o.o_orderkey)
 
 
 @_q("join_cross", "a b", "SELECT a.r_name AS a, n_name AS b FROM region a CROSS JOIN nation")
@@ -390,6 +386,13 @@ def _(q):
     return record(a.n_name, b.n_name)
 
 
+@_q("join_theta_less", "a b", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def _(q):
+    a, b = q.query(Nation), q.query(Nation)
+    q.on(a.n_nationkey < b.n_nationkey)
+    return record(a.n_name, b.n_name)
+
+
 @_q("join_self", "a b", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey")
 def _(q):
     a, b = q.query(Nation), q.query(Nation)
@@ -414,18 +417,17 @@ def _(q):
     return record(c.c_custkey, place[0].n_name, place[1].r_name)
 
 
-_few = relation(lambda p: (lambda s: (p.wheres(s.s_suppkey <= 5), s)[1])(p.query(Supplier)))
 _PAIR = "n_nationkey AS n, s_suppkey AS s"
 for _name, _join, _word in (("left", left, "LEFT"), ("right", right, "RIGHT"), ("full", full, "FULL")):
 
     def _direct(db, join=_join):
         def describe(q):
-            pair = q.query(join(Nation, _few, lambda n, s: n.n_nationkey == s.s_nationkey))
+            pair = q.query(join(Nation, Supplier, lambda n, s: n.n_nationkey == s.s_nationkey, lambda n, s: n.n_regionkey < 3))
             return record(pair[0].n_nationkey, pair[1].s_suppkey)
 
         return relation(describe)
 
-    _entry(f"join_direct_{_name}", "n s", f"SELECT {_PAIR} FROM nation {_word} JOIN (SELECT * FROM supplier WHERE s_suppkey <= 5) ON n_nationkey = s_nationkey")(_direct)
+    _entry(f"join_direct_{_name}", "n s", f"SELECT {_PAIR} FROM nation {_word} JOIN supplier ON n_nationkey = s_nationkey AND n_regionkey < 3")(_direct)
 
 
 @_q("join_record_key", "k n", "SELECT a.l_orderkey AS k, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY 1", grouped=True)
@@ -685,23 +687,30 @@ def _(q):
 
 
 def _by_nulls(direction, nulls):
+    """All rows in order; each with its place among the customers of its nation, ordered alike."""
+
     def build(db):
         def describe(q):
             c, o = _optional(q)
             q.order_by(o.o_totalprice, direction, nulls).asc(o.o_orderkey).asc(c.c_custkey)
-            return record(c.c_custkey, o.o_orderkey)
+            place = over(row_number(), window().partition_by(c.c_nationkey).order_by(o.o_totalprice, direction, nulls).asc(o.o_orderkey).asc(c.c_custkey))
+            return record(c.c_custkey, o.o_orderkey, place)
 
-        return relation(describe).limit(25)
+        return relation(describe)
 
     return build
 
 
 for _direction in ("asc", "desc"):
     for _nulls in ("first", "last"):
-        _entry(f"order_{_direction}_nulls_{_nulls}", "c o", f"SELECT c_custkey AS c, o_orderkey AS o FROM {_OPTIONAL} ORDER BY o_totalprice {_direction} NULLS {_nulls}, o_orderkey, c_custkey LIMIT 25")(_by_nulls(_direction, _nulls))
+        _entry(
+            f"order_{_direction}_nulls_{_nulls}",
+            "c o place",
+            f"SELECT c_custkey AS c, o_orderkey AS o, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice {_direction} NULLS {_nulls}, o_orderkey, c_custkey) AS INTEGER) AS place FROM {_OPTIONAL} ORDER BY o_totalprice {_direction} NULLS {_nulls}, o_orderkey, c_custkey",
+        )(_by_nulls(_direction, _nulls))
 
 
-@_entry("order_by_hidden_aggregate", "c", "SELECT o_custkey AS c FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 10")
+@_entry("order_by_hidden_aggregate", "c", "SELECT o_custkey AS c FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, o_custkey")
 def _(db):
     @aggregate_relation
     def rel(q):
@@ -710,7 +719,7 @@ def _(db):
         q.desc(sum_(o.o_totalprice)).asc(k)
         return k
 
-    return rel.limit(10)
+    return rel
 
 
 @_entry("top_k", "k p", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
@@ -899,6 +908,11 @@ class Counter(Model):
     last = Field(T.LongType(), primary_key=True)
 
 
+class Other(Model):
+    __table__ = "other"
+    k = Field(T.LongType(), primary_key=True)
+
+
 _STOCK = "SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS region, n_nationkey * 10 AS n FROM nation"
 
 
@@ -1046,3 +1060,243 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         return record(q.group_by(e[0]), count(e[0]))
 
     return db.frame(rel, ["t", "n"])
+
+
+# --- statements: several tables, keys, chunks, prepared and raw ones --------------
+
+
+@_frame("multi_table_rollback", f"SELECT 'stock' AS t, count(*) AS n, sum(n) AS total FROM ({_STOCK}) UNION ALL SELECT 'counter', 1, 5")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two writers of one table the later one fails, and its change of another table goes as well."""
+    store = _stock(spark, sf_dir)
+    store.create(Counter, spark.createDataFrame([(4,)], "last long"))
+    try:
+        with store.transaction() as tx:
+            tx.delete(Stock)
+            tx.insert(Counter, [Counter(9)])
+            store.update(Counter, lambda a, r: a.assign("last", 5))
+    except Conflict:
+        pass
+    sums = [store.read(t).agg(F.lit(t).alias("t"), F.count("*").alias("n"), F.sum(c).alias("total")) for t, c in (("stock", "n"), ("counter", "last"))]
+    return sums[0].unionByName(sums[1])
+
+
+@_frame("multi_table_commit", f"SELECT 'stock' AS t, count(*) AS n FROM ({_STOCK}) WHERE region IS NOT NULL UNION ALL SELECT 'counter', 2")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer that another one overtook commits all its tables if the other changed none that it used."""
+    store = _stock(spark, sf_dir)
+    store.create(Counter)
+    with store.transaction() as tx:
+        tx.delete(Stock, lambda a, r: a.wheres(r.region.is_nothing()))
+        store.create(Other)
+        tx.insert(Counter, [Counter(1), Counter(2)])
+    return store.read("stock").agg(F.lit("stock").alias("t"), F.count("*").alias("n")).unionByName(store.read("counter").agg(F.lit("counter").alias("t"), F.count("*").alias("n")))
+
+
+@_statement("key_update_repeated_key", f"SELECT k, CASE k WHEN 4 THEN 'last' WHEN 6 THEN 'six' ELSE name END AS name, CASE k WHEN 4 THEN 2 WHEN 6 THEN 1 ELSE region END AS region, CASE k WHEN 4 THEN 45 WHEN 6 THEN 66 ELSE n END AS n FROM ({_STOCK})")
+def _(store):
+    if store.key_update(Stock, [Stock(4, "first", None, 44), Stock(6, "six", 1, 66), Stock(4, "last", 2, 45)]) != 3:
+        raise RuntimeError("a key update counts its rows once for each record")
+
+
+@_statement("bulk_insert_chunks", f"{_STOCK} UNION ALL SELECT CAST(1000 + x AS INTEGER), 'bulk', NULL, CAST(x AS INTEGER) FROM range(0, 25) t(x) UNION ALL VALUES (2000, 'after', 10, 0), (2001, 'after', 20, 0)")
+def _(store):
+    seen = []
+    store.bulk_insert(Stock, (Stock(1000 + i, "bulk", None, i) for i in range(25)), chunk=10, between=seen.append)
+    store.insert(Stock, [Stock(2000 + i, "after", n, 0) for i, n in enumerate(seen)])
+
+
+@_statement("raw_update", f"SELECT k, CASE WHEN region > 1 AND k <> 9 THEN name || ', it''s ' || k ELSE name END AS name, region, CASE WHEN region > 1 AND k <> 9 THEN n + 7 ELSE n END AS n FROM ({_STOCK})")
+def _(store):
+    store.execute("UPDATE stock SET name = concat(name, ', it''s ', stock.k), n = n + :more WHERE region > 1 AND k <> :not", more=7, **{"not": 9})
+
+
+@_statement("raw_update_subquery", f"SELECT k, name, region, CASE WHEN k IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000) THEN 0 ELSE n END AS n FROM ({_STOCK})")
+def _(store):
+    store.base.frames["supplier"] = store.base.table("supplier")
+    store.execute("UPDATE stock SET n = 0 WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = stock.k AND s_acctbal > 8000)")
+
+
+@_statement("raw_insert", f"{_STOCK} UNION ALL VALUES (300, 'a', NULL, 1), (301, 'b', NULL, 2) UNION ALL SELECT k + 400, name, region, n FROM ({_STOCK}) WHERE k < 2")
+def _(store):
+    store.execute("INSERT INTO stock (k, name, n) VALUES (300, 'a', 1), (301, :name, 2)", name="b")
+    store.execute("INSERT INTO stock SELECT k + 400, name, region, n FROM stock WHERE k < 2")
+
+
+@_statement("raw_delete", f"SELECT * FROM ({_STOCK}) WHERE (region = 1 OR name LIKE 'A%') IS NOT TRUE")
+def _(store):
+    store.execute("DELETE FROM stock WHERE region = :r OR name LIKE 'A%';", r=1)
+
+
+@_statement("prepared_statements", f"SELECT k, CASE k WHEN 2 THEN 'two' WHEN 5 THEN 'five' ELSE name END AS name, region, n FROM ({_STOCK}) WHERE k NOT IN (7, 8) UNION ALL VALUES (600, 'x', NULL, 0), (601, 'y', NULL, 0)")
+def _(store):
+    key, name = placeholder("k", T.IntegerType()), placeholder("name", T.StringType())
+    changed = store.prepare("update", Stock, lambda a, r: a.assign("name", name).wheres(r.k == key))
+    counts = changed.map([{"k": 2, "name": "two"}, {"k": 5, "name": "five"}, {"k": 999, "name": "none"}])
+    gone = store.prepare("delete", Stock, lambda a, r: a.wheres(r.k == key))
+    counts += [gone.bind(k=7).execute(), gone.execute(k=8)]
+    added = store.prepare("insert_value", Stock, lambda a: a.assign("k", key).assign("name", name))
+    counts += added.map({"k": 600 + i, "name": x} for i, x in enumerate("xy"))
+    if counts != [1, 1, 0, 1, 1, 1, 1]:
+        raise RuntimeError(f"counts of prepared statements: {counts}")
+
+
+@_frame("statement_counts", "SELECT * FROM (VALUES ('insert', 2), ('insert_query', 5), ('update', 6), ('key_update', 1), ('delete', 5), ('nothing set', -1)) t(verb, n)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of affected rows; an update that sets nothing is refused."""
+    store = _stock(spark, sf_dir)
+    rows = relation(lambda q: (lambda r: record(r.r_regionkey + 500, r.r_name))(q.query(Region)))
+    found = [("insert", store.insert(Stock, [Stock(100, "a", 1, 0), Stock(101, "b", 3, 0)])), ("insert_query", store.insert_query(Stock, rows, Stock.path("k", "name")))]
+    found += [("update", store.update(Stock, lambda a, r: a.assign("n", 1).wheres(r.region == 1))), ("key_update", store.key_update(Stock, [Stock(3, "x", 1, 1), Stock(-1, "y", 1, 1)]))]
+    found.append(("delete", store.delete(Stock, lambda a, r: a.wheres(r.k >= 500))))
+    try:
+        found.append(("nothing set", store.update(Stock, lambda a, r: a.wheres(r.k == 1))))
+    except ValueError:
+        found.append(("nothing set", -1))
+    return spark.createDataFrame(found, "verb string, n int")
+
+
+@_frame("update_number", "SELECT CAST(120 AS BIGINT) AS last, 0 AS back, 1 AS forward")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stock(spark, sf_dir)
+    store.create(Counter, spark.createDataFrame([(100,)], "last long"))
+    numbers = Sequence(store, Counter, "last")
+    counts = numbers.update_number(50), numbers.update_number(120)
+    return store.read("counter").select("last", F.lit(counts[0]).alias("back"), F.lit(counts[1]).alias("forward"))
+
+
+# --- running and fetching ----------------------------------------------------------
+
+_REGIONS = "SELECT r_regionkey AS k, r_name AS name FROM region WHERE r_regionkey >= 2"
+
+
+@relation
+def _later(q):
+    r = q.query(Region)
+    q.wheres(r.r_regionkey >= placeholder("least", T.IntegerType())).asc(r.r_regionkey)
+    return record(r.r_regionkey, r.r_name)
+
+
+@_frame("fetch_rows", " UNION ALL ".join(f"SELECT '{how}' AS how, k, name FROM ({_REGIONS})" for how in ("prepared", "fetch", "fetch_all", "iterate", "for_each", "run")))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of a prepared, bound and executed query, fetched in every way."""
+    db, found = Database(spark, sf_dir), []
+    with db.prepared(_later) as query:
+        found += [("prepared", *r) for r in query.execute(least=2).fetch_all()]
+        done = query.bind(least=2).execute()
+        while (row := done.fetch()) is not None:
+            found.append(("fetch", *row))
+        found += [("fetch_all", *r) for r in query.bind(least=2).execute().fetch_all()]
+        found += [("for_each", *r) for r in query.execute(least=2).for_each(lambda r: r)]
+    found += [("iterate", *r) for r in db.iterate(_later, least=2)]
+    found += [("run", *r) for r in db.run(_later, least=2)]
+    return spark.createDataFrame(found, "how string, k int, name string")
+
+
+@_frame("fetch_one", "SELECT * FROM (VALUES ('first', 2), ('first of none', -1), ('only', 4), ('only of none', -1), ('only of many', -2)) t(how, k)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark, sf_dir)
+    found = [("first", db.first(_later, least=2)[0]), ("first of none", (db.first(_later, least=99) or [-1])[0])]
+    found += [("only", db.one_or_none(_later, least=4)[0]), ("only of none", (db.one_or_none(_later, least=99) or [-1])[0])]
+    try:
+        found.append(("only of many", db.one_or_none(_later, least=2)[0]))
+    except ValueError:
+        found.append(("only of many", -2))
+    return spark.createDataFrame(found, "how string, k int")
+
+
+@_frame("fetch_fold", "SELECT sum(r_regionkey) AS total, count(*) AS n FROM region WHERE r_regionkey >= 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = Database(spark, sf_dir).prepare(_later).execute(least=1)
+    return spark.createDataFrame([done.fold(lambda s, r: (s[0] + r[0], s[1] + 1), (0, 0))], "total long, n long")
+
+
+_SHOWN = {
+    "relation": ("SELECT ALL T0.r_regionkey AS f0, T0.r_name AS f1 FROM region T0 WHERE (T0.r_regionkey >= ?) ORDER BY T0.r_regionkey ASC", lambda: sqltext.to_sql(_later)),
+    "suffix": ("SELECT r_regionkey, r_name FROM region FOR UPDATE", lambda: sqltext.to_sql(table(Region), suffix="FOR UPDATE")),
+    "insert": ("INSERT INTO region (r_regionkey, r_name) VALUES (?, ?)", lambda: sqltext.insert_sql(Region)),
+    "update": ("UPDATE region T0 SET r_name = ? WHERE (T0.r_regionkey = 1)", lambda: sqltext.update_sql(Region, lambda a, r: a.assign("r_name", placeholder("n", T.StringType())).wheres(r.r_regionkey == 1))),
+    "key update": ("UPDATE region SET r_name = ? WHERE r_regionkey = ?", lambda: sqltext.key_update_sql(Region)),
+    "delete": ("DELETE FROM region T0 WHERE (T0.r_regionkey = 1)", lambda: sqltext.delete_sql(Region, lambda a, r: a.wheres(r.r_regionkey == 1))),
+    "columns": ("r_regionkey, r_name", lambda: ", ".join(sqltext.column_texts(Region))),
+}
+
+
+@_frame("sql_text", " UNION ALL ".join(f"SELECT '{k}' AS what, '{want}' AS text" for k, (want, _) in _SHOWN.items()))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, make()) for k, (_, make) in _SHOWN.items()], "what string, text string")
+
+
+@_frame("run_shown_sql", "SELECT r_regionkey AS k, r_name AS name FROM region WHERE r_regionkey >= 2")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that is shown for a relation, run as it stands."""
+    db = Database(spark, sf_dir)
+    db.table("region").createOrReplaceTempView("region")
+    return spark.sql(sqltext.to_sql(_later), args=[2]).toDF("k", "name")
+
+
+def _refused(act: Callable[[], object]) -> str:
+    try:
+        act()
+    except (TypeError, ValueError) as e:
+        return type(e).__name__
+    return "accepted"
+
+
+@_frame("refusals", "SELECT * FROM (VALUES ('empty case', 'ValueError'), ('lateral reference', 'TypeError'), ('empty IN', 'ValueError'), ('on without a join', 'TypeError'), ('column twice', 'TypeError')) t(what, result)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark, sf_dir)
+
+    def lateral():
+        def describe(q):
+            n = q.query(Nation)
+            return record(n.n_name, q.query(relation(lambda p: (lambda r: (p.wheres(r.r_regionkey == n.n_regionkey), r.r_name)[1])(p.query(Region)))))
+
+        db.frame(relation(describe))
+
+    found = [
+        ("empty case", _refused(lambda: case_search([], 1))),
+        ("lateral reference", _refused(lateral)),
+        ("empty IN", _refused(lambda: db.frame(relation(lambda q: (lambda n: (q.wheres(n.n_name.in_([])), n.n_name)[1])(q.query(Nation)))))),
+        ("on without a join", _refused(lambda: db.frame(relation(lambda q: (lambda n: (q.on(n.n_name == "x"), n.n_name)[1])(q.query(Nation)))))),
+        ("column twice", _refused(lambda: Assignments(Stock).assign("n", 1).assign("n", 2))),
+    ]
+    return spark.createDataFrame(found, "what string, result string")
+
+
+# --- catalogs and arrays by raw expressions ----------------------------------------
+
+
+@_frame("catalog_columns", "SELECT * FROM (VALUES ('postgresql', 'id', 'int', FALSE, 2), ('postgresql', 'line', 'smallint', FALSE, 1), ('postgresql', 'note', 'string', TRUE, 0), ('mysql', 'id', 'int', FALSE, 2), ('mysql', 'line', 'smallint', FALSE, 1), ('mysql', 'note', 'string', TRUE, 0), ('oracle', 'id', 'decimal(38,0)', FALSE, 2), ('oracle', 'line', 'double', FALSE, 1), ('oracle', 'note', 'string', TRUE, 0), ('sqlserver', 'id', 'int', FALSE, 2), ('sqlserver', 'line', 'smallint', FALSE, 1), ('sqlserver', 'note', 'string', TRUE, 0), ('sqlite3', 'id', 'int', FALSE, 2), ('sqlite3', 'line', 'smallint', FALSE, 1), ('sqlite3', 'note', 'string', TRUE, 0), ('db2', 'id', 'int', FALSE, 2), ('db2', 'line', 'smallint', FALSE, 1), ('db2', 'note', 'string', TRUE, 0)) t(system, name, type, nullable, key_place)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog queries of six systems over fixtures of their catalog tables: columns, and the places of a key (line, id)."""
+    from querent.plans import fixtures
+
+    found = []
+    for system in ("postgresql", "mysql", "oracle", "sqlserver", "sqlite3", "db2"):
+        model = catalog.read_catalog(spark, system, "", "app", "items", run=fixtures.catalog_runner(spark, system))
+        key = model.primary_key()
+        found += [(system, f.name, f.dtype.simpleString(), f.nullable, key.index(f.name) + 1 if f.name in key else 0) for f in model.__fields__]
+    return spark.createDataFrame(found, "system string, name string, type string, nullable boolean, key_place int")
+
+
+@_q("array_expression", "k n second", "SELECT p_partkey AS k, CAST(len(string_split(p_type, ' ')) AS INTEGER) AS n, string_split(p_type, ' ')[2] AS second FROM part")
+def _(q):
+    p = q.query(Part)
+    return record(p.p_partkey, unary(lambda c: F.size(F.split(c, " ")), p.p_type, T.IntegerType()), unary(lambda c: F.get(F.split(c, " "), 1), p.p_type, T.StringType()))
+
+
+# --- network addresses of both versions ---------------------------------------------
+
+_ADDRESSES = ("192.168.7.9/24", "10.0.0.0/8", "1.2.3.4", "300.1.1.1", "1.2.3.4/33", "fd00::1/8", "::", "2001:db8::/32", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8/64", "1::2::3", "::1/129", "g::", "x")
+
+
+@_frame(
+    "inet_cidr",
+    "SELECT * FROM (VALUES ('192.168.7.9/24', '192.168.7.9/24', '192.168.7.0/24', FALSE), ('10.0.0.0/8', '10.0.0.0/8', '10.0.0.0/8', TRUE), ('1.2.3.4', '1.2.3.4/32', '1.2.3.4/32', TRUE), ('300.1.1.1', NULL, NULL, NULL), ('1.2.3.4/33', NULL, NULL, NULL), "
+    "('fd00::1/8', 'fd00:0:0:0:0:0:0:1/8', 'fd00:0:0:0:0:0:0:0/8', FALSE), ('::', '0:0:0:0:0:0:0:0/128', '0:0:0:0:0:0:0:0/128', TRUE), ('2001:db8::/32', '2001:db8:0:0:0:0:0:0/32', '2001:db8:0:0:0:0:0:0/32', TRUE), ('::ffff:1.2.3.4', '0:0:0:0:0:ffff:102:304/128', '0:0:0:0:0:ffff:102:304/128', TRUE), "
+    "('1:2:3:4:5:6:7:8/64', '1:2:3:4:5:6:7:8/64', '1:2:3:4:0:0:0:0/64', FALSE), ('1::2::3', NULL, NULL, NULL), ('::1/129', NULL, NULL, NULL), ('g::', NULL, NULL, NULL), ('x', NULL, NULL, NULL)) t(t, address, network, is_network)",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, t = spark.createDataFrame([(x,) for x in _ADDRESSES], "t string"), F.col("t")
+    return rows.select("t", netaddr.canonical(t).alias("address"), netaddr.cidr_text(t).alias("network"), netaddr.is_cidr(t).alias("is_network"))

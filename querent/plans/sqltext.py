@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
-from querent.functions.expr import Agg, Expr, Key, Lit, Native, Op, Over, Param, Rank, Ref, Sub, quoted
+from querent.functions.expr import Agg, Expr, Key, Lit, Native, Op, Over, Param, Rank, Record, Ref, Sub, quoted
 from querent.operators.grouping import Power, Unit
 from querent.operators.relation import Described, Limited, Query, RawQuery, Relation, SetOperation, TableRelation, Unique, as_relation
 
@@ -174,6 +174,14 @@ def to_sql(rel: Any, config: Config | None = None, suffix: str = "") -> str:
     return f"{text} {suffix}" if suffix else text
 
 
+def column_texts(record: Any, config: Config | None = None) -> list[str]:
+    """The text of each column of a record, or of a model's columns."""
+    c = config or Config()
+    if isinstance(record, Record):
+        return [_Text(c).expr(e) for e in record.columns()]
+    return [c.name(n) for n in as_relation(record).names()]
+
+
 def export_sql(path: str, *relations: Any, config: Config | None = None) -> None:
     """Writes the texts to a local file, one a line."""
     with open(path, "w", encoding="utf-8") as out:
@@ -202,7 +210,6 @@ def insert_query_sql(model: type, rel: Any, columns: list[str] | None = None, co
 
 
 def _statement(model: type, describe: Any, config: Config) -> tuple[_Text, Any]:
-    from querent.functions.expr import Record
     from querent.sources.store import Assignments
 
     text = _Text(config, tables=1)
@@ -236,4 +243,4 @@ def delete_sql(model: type, describe: Any = None, config: Config | None = None)
     return f"DELETE FROM {c.table(model.__table__)}{' AS' if c.alias_as else ''} T0{_where(text, own.query)}"
 
 
-__all__ = ["Config", "delete_sql", "export_sql", "insert_query_sql", "insert_sql", "key_update_sql", "rows_per_insert", "to_sql", "update_sql"]
+__all__ = ["Config", "column_texts", "delete_sql", "export_sql", "insert_query_sql", "insert_sql", "key_update_sql", "rows_per_insert", "to_sql", "update_sql"]
