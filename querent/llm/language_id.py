@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.shared import pick, texts, written
+from querent.llm.shared import lean, pick, texts, written
 
 #: Bounds of the training sample: documents a language, characters of a document and of all, spans and words.
 PER_LANG = 250
@@ -349,7 +349,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]
     fields = [base.schema[k] for k in keep]
     out = T.StructType([*fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_familiar", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return base.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).mapInArrow(_predict(shared), out)
+    return base.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")])).mapInArrow(lean(_predict(shared)), out)
 
 
 SPANS_FOUND = "doc_id long, spans array<struct<start:int,end:int,lang:string>>"

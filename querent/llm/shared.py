@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +84,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[plain[f"c{p}"].alias(n) for p, n in zip(places, names, strict=True)])
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives memory back to the system when it ends: workers wait for later tasks, of any stage."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # the C library may have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with the column added, evaluated once a row.
 

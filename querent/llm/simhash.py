@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from querent.llm import similar
 from querent.llm.components import components
-from querent.llm.shared import FOLD, texts, written
+from querent.llm.shared import FOLD, lean, texts, written
 from querent.llm.trie import BUDGET, trie_links
 
 SEED = 42
@@ -61,7 +61,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (as a signed long), row (its place in the input) for every row."""
-    return texts(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(_fingerprints, PRINTS)
+    return texts(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_fingerprints), PRINTS)
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.components import components
-from querent.llm.shared import FOLD, only, released, texts, written
+from querent.llm.shared import FOLD, lean, only, released, texts, written
 from querent.llm.trie import BUDGET, trie_links
 
 WORDS = 5
@@ -170,7 +170,7 @@ def _alike(least: float):
 
 def _order(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a sample, sorted, and each one's place, rarest first."""
-    sample = texts(rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0), "text").mapInArrow(_sampled(words), "shingle long")
+    sample = texts(rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0), "text").mapInArrow(lean(_sampled(words)), "shingle long")
     counted = sample.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     # At most COMMON rows of two numbers.
     found = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
@@ -198,12 +198,12 @@ def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words: int,
     own = written(only(prints.select("row", "size", "bins"), "row", _ends(pairs, f"{label}-ends")), f"{label}-bins")
     one, two = (own.select(F.col("row").alias(n), F.col("size").alias(f"size_{n}"), F.col("bins").alias(f"bins_{n}")) for n in "uv")
     known = texts(pairs.join(one, "u").join(two, "v"), "u", "v", "size_u", "size_v", "bins_u", "bins_v")
-    pairs = written(known.mapInArrow(_possible(least), "u long, v long"), f"{label}-possible")
+    pairs = written(known.mapInArrow(lean(_possible(least)), "u long, v long"), f"{label}-possible")
     wanted = only(rows, "row", _ends(pairs, f"{label}-wanted"))
-    sets = written(texts(wanted, "row", "text").mapInArrow(_sets(words), _SETS), f"{label}-sets")
+    sets = written(texts(wanted, "row", "text").mapInArrow(lean(_sets(words)), _SETS), f"{label}-sets")
     one, two = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     joined = pairs.join(one, "u").join(two, "v")
-    return written(texts(joined, "u", "v", "x", "y").mapInArrow(_alike(least), "u long, v long"), f"{label}-links")
+    return written(texts(joined, "u", "v", "x", "y").mapInArrow(lean(_alike(least)), "u long, v long"), f"{label}-links")
 
 
 def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
 def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST, budget: int = BUDGET) -> DataFrame:
     """row and root (a row of its group) for every row; rows has row (distinct longs) and text."""
     common, rank = _order(rows, words)
-    prints = written(texts(rows, "row", "text").mapInArrow(_prefixes(common, rank, words, least), _PRINTS), "prints")
+    prints = written(texts(rows, "row", "text").mapInArrow(lean(_prefixes(common, rank, words, least)), _PRINTS), "prints")
     distinct = written(prints.groupBy("digest").agg(F.min("row").alias("node"), F.min("fingerprint").alias("fingerprint")), "distinct-sets")
     heads = written(distinct.groupBy("fingerprint").agg(F.min("node").alias("head")), "heads")
     same = distinct.join(heads, "fingerprint").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
