@@ -11,15 +11,17 @@ Any order is right; a good one puts rare shingles first. The order is by the
 count in a sample of the rows (common ones last), then by hash, so the sample
 affects the cost alone.
 
-Pairs are verified in three rounds, so that a large group isn't paired out:
+Pairs are verified in rounds, so that a large group isn't paired out:
 first those whose SimHash fingerprints lie within a few bits (a fingerprint's
-sets with its least one, and what the trie join links), then each key's rows
-with the key's least row, then, under keys whose rows are not yet all
-connected, the pairs across components. A round verifies only pairs that the
+sets with its least one, and what the trie join links), then CENTRES times each
+key's rows with one of them, chosen by hash, then, under keys whose rows are not
+yet all connected, the pairs across components. A round verifies only pairs that the
 rounds before left in different components. Before whole sets are compared,
 pairs go that cannot reach s by their bins: a set's hashes are counted in about
 half as many bins as it has, and the sum of the lesser counts is at least the
-overlap. Bins are a fourteenth of a set's size and spare most of the pairs.
+overlap. Bins are a fourteenth of a set's size and spare most of the pairs. The
+last round's join itself passes over pairs whose odd sketches (256 bits) differ
+in more bits than such sets can in hashes.
 
 What is shuffled is narrow: the keys alone to find those that two texts share,
 then (key, row, size and place) of these.
@@ -48,8 +50,11 @@ LEAST = 0.8
 SEED = 43
 #: One row of so many is counted for the order of shingles; at most COMMON of the shingles seen OFTEN are told apart.
 SAMPLED, COMMON, OFTEN = 16, 100_000, 3
-_PRINTS = "row long, digest binary, size int, fingerprint long, bins binary, prefix array<long>"
+_PRINTS = "row long, digest binary, size int, fingerprint long, bins binary, odd_0 long, odd_1 long, odd_2 long, odd_3 long, prefix array<long>"
+ODD = [f"odd_{i}" for i in range(4)]
 _SETS = "node long, shingles binary"
+#: Rounds in which the rows of a key are compared with one of them.
+CENTRES = 1
 #: Shingles of a batch that goes back at once.
 HELD = 1 << 16
 
@@ -81,6 +86,15 @@ def bins(hashes: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """256 bits in four longs, each whether an odd number of the set's hashes falls on it.
+
+    Two sketches differ in at most as many bits as the sets differ in hashes.
+    """
+    odd = np.bincount(((hashes >> np.uint64(32)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def most_shared(one: bytes, two: bytes) -> float:
     """A bound on the overlap of two sets by their bins."""
     if not one or not two:
@@ -100,9 +114,9 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, words: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list) -> pa.RecordBatch:
-            row, digest, size, prints, held_in, prefix = zip(*rows, strict=True)
+            row, digest, size, prints, held_in, odd, prefix = zip(*rows, strict=True)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in prefix])], pa.int32()), pa.array(np.concatenate(prefix).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(prints, pa.int64()), pa.array(held_in, pa.binary()), lists], ["row", "digest", "size", "fingerprint", "bins", "prefix"])
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(prints, pa.int64()), pa.array(held_in, pa.binary()), *[pa.array(x) for x in np.array(odd).T.copy()], lists], ["row", "digest", "size", "fingerprint", "bins", *ODD, "prefix"])
 
         rows, held = [], 0
         for batch in batches:
@@ -114,7 +128,7 @@ def _prefixes(common: np.ndarray, rank: np.ndarray, words: int, least: float):
                     i = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     place = np.where(common[i] == own, rank[i], 0)
                 prefix = own[np.lexsort((own, place))[: n - needed(n, least) + 1]]
-                rows.append((batch.column(0)[at].as_py(), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, majority(own), bins(own), prefix))
+                rows.append((batch.column(0)[at].as_py(), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, majority(own), bins(own), odd_sketch(own), prefix))
                 held += len(prefix)
                 if held >= HELD or len(rows) >= 1024:
                     yield out(rows)
@@ -231,19 +245,30 @@ def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST, budge
     keyed = firsts.select("row", "size", F.posexplode("prefix").alias("place", "key")).select("key", F.col("row").alias("node"), at.alias("at"))
     met = written(keyed.join(shared, "key"), "met")
     released(shared)
-    lowest = met.groupBy("key").agg(F.min(F.struct("node", "at")).alias("low")).select("key", F.col("low.node").alias("u"), F.col("low.at").alias("at_u"))
-    stars = met.join(lowest, "key").where("u < node").where(_reach("at_u", "at", least)).select("u", F.col("node").alias("v")).distinct()
-    stars = written(stars, "stars")
-    links = links.unionByName(_verified(_apart(stars, part), prints, rows, words, least, "star"))
-    part = written(components(links), "star-parts")
-    placed = met.join(part, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("part"))
-    open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    left = written(placed.join(open_, "key"), "open-keys")
-    released(met)
-    one, two = (left.select("key", F.col("node").alias(n), F.col("at").alias(f"at_{n}"), F.col("part").alias(f"part_{n}")) for n in "uv")
-    across = one.join(two, "key").where("part_u <> part_v and u < v").where(_reach("at_u", "at_v", least)).select("u", "v")
-    links = links.unionByName(_verified(across.join(stars, ["u", "v"], "left_anti"), prints, rows, words, least, "across"))
-    released(left, stars)
+    left, tried = met, None
+    for n in range(CENTRES):
+        # Each key has a row of its own for a centre, so that a group whose rows are like some of the others is joined up by many.
+        order = F.struct(F.xxhash64("key", "node", F.lit(n)).alias("h"), "node", "at")
+        centre = left.groupBy("key").agg(F.min(order).alias("low")).select("key", F.col("low.node").alias("centre"), F.col("low.at").alias("at_centre"))
+        stars = left.join(centre, "key").where("centre <> node").where(_reach("at_centre", "at", least))
+        stars = written(_apart(stars.select(F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v")).distinct(), part), "stars")
+        links = links.unionByName(_verified(stars, prints, rows, words, least, "star"))
+        part = written(components(links), "star-parts")
+        tried = stars if tried is None else tried.unionByName(stars)
+        placed = left.join(part, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("part"))
+        open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+        done, left = left, written(placed.join(open_, "key"), "open-keys")
+        released(done)
+    # Pairs that the sketches show to be too far apart are told by the join itself.
+    sides = [prints.select(F.col("row").alias("node"), *ODD).join(left.select("node").distinct(), "node", "left_semi")]
+    known = written(left.join(sides[0], "node"), "open-sketches")
+    one, two = (known.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("at", "part", *ODD)], F.col("node").alias(n)) for n in "uv")
+    apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in ODD), F.lit(0))
+    sizes = F.shiftright("at_u", 32) + F.shiftright("at_v", 32)
+    near = (F.col("part_u") != F.col("part_v")) & (F.col("u") < F.col("v")) & _reach("at_u", "at_v", least) & (apart <= sizes * ((1 - least) / (1 + least)) + 1e-6)
+    across = one.join(two.withColumnRenamed("key", "key_v"), (F.col("key") == F.col("key_v")) & near).select("u", "v")
+    links = links.unionByName(_verified(across.join(tried, ["u", "v"], "left_anti"), prints, rows, words, least, "across"))
+    released(left, known)
     joined = components(links)
     named = distinct.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("root"))
     return prints.select("row", "digest").join(named, "digest").select("row", "root")

@@ -40,6 +40,8 @@ def test_bins_bound_the_overlap():
         x = rng.integers(0, 1 << 64, n + m, dtype=np.uint64, endpoint=False)
         a, b = x[:n], np.concatenate([x[: min(both, n)], x[n:]])[:m]
         assert similar.most_shared(similar.bins(a), similar.bins(b)) >= len(set(a) & set(b))
+        odd = similar.odd_sketch(a) ^ similar.odd_sketch(b)
+        assert sum(int(x).bit_count() for x in odd.view(np.uint64)) <= len(set(a) ^ set(b))
     assert similar.most_shared(similar.bins(a), similar.bins(b)) < 0.8 * 450
     same = np.full(300, 5, np.uint64)
     assert similar.bins(same) == b"" and similar.most_shared(b"", similar.bins(a)) == float("inf")
