@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.shared import FOLD, texts, written
+from querent.llm.shared import FOLD, only, texts, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -246,9 +246,12 @@ def exact_dedup(docs: DataFrame, max_entries: int = 1 << 17, max_bytes: int = 64
     base = texts(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     found = written(base.mapInArrow(_heads(max_entries, max_bytes, digest_bytes), FOUND), "digests")
     heads, rows = found.where(F.col("row").isNull()), found.where(F.col("row").isNotNull())
-    often = written(heads.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("digest"), "shared-digests")
-    alone = heads.join(often, "digest", "left_anti").select("head", "keep_id", "keep_row", "size")
-    shared = heads.join(often, "digest", "left_semi").select("head", "digest", "content", "keep_id", "keep_row", "size")
+    narrow = heads.select("head", "digest", "keep_id", "keep_row", "size")
+    often = written(narrow.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("digest"), "shared-digests")
+    alone = narrow.join(often, "digest", "left_anti").select("head", "keep_id", "keep_row", "size")
+    # Contents are picked by their heads' numbers, so the others' needn't be shuffled to find out.
+    numbers = written(narrow.join(often, "digest", "left_semi").select("head"), "shared-heads")
+    shared = only(heads.select("head", "digest", "content", "keep_id", "keep_row", "size"), "head", numbers)
     merged = texts(shared.repartition("digest").sortWithinPartitions("digest"), "head", "digest", "content", "keep_id", "keep_row", "size").mapInArrow(_merged(max_entries, max_bytes), GROUPS)
     known = alone.unionByName(merged)
     joined = rows.select("doc_id", "row", "head", "digest").join(known, "head")
