@@ -64,7 +64,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         # Tokens that the vocabulary finds in raw text, before it normalises and cuts.
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().translate(FOLD) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -84,7 +84,7 @@ class WordTokens:
         # bytes.split() cuts at ASCII white space only, all of which the vocabulary drops;
         # it lower-cases as well, so A-Z may be folded first.
         folded = text.translate(FOLD)
-        if any(t.translate(FOLD) in folded for t in self.special):
+        if any(t in folded for t in self.special):
             return _packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
         words = folded.split()
         new = set(words).difference(self.known)
