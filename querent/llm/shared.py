@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: cut lineage, fold case, stream groups."""
+"""Helpers shared by the corpus operators: cut lineage, fold case, stream groups, give memory back."""
 
 from __future__ import annotations
 
@@ -12,11 +12,17 @@ from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
+from py4j.java_gateway import JVMView
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a list of numbers up to which it is broadcast: some 30 MB.
 SMALL = 1 << 20
+#: Share of the driver's largest heap beyond which its garbage is collected, and how much of a heap may then stay free, in percent.
+HEAP, SPARE = 0.5, 40
+#: The driver's heap after the last of these collections, in bytes.
+_after: dict[JVMView, int] = {}
 #: bytes.translate table that lower-cases A-Z only.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -37,6 +43,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def tidied(spark: SparkSession) -> None:
+    """Has the driver's JVM collect garbage and give memory back, if its heap has outgrown HEAP.
+
+    Hundreds of small jobs let a heap grow to its limit though little of it is
+    in use, and a collection may leave up to 70 % of it free: this one leaves
+    SPARE % at most, unless MaxHeapFreeRatio is set or the JVM has no such option.
+    """
+    jvm = spark._jvm
+    runtime = jvm.Runtime.getRuntime()
+    if runtime.totalMemory() <= max(HEAP * runtime.maxMemory(), 1.5 * _after.get(jvm, 0)):
+        return
+    with suppress(Py4JError, TypeError):
+        kind = jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+        options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(kind)
+        if options.getVMOption("MaxHeapFreeRatio").getOrigin().toString() == "DEFAULT":
+            options.setVMOption("MaxHeapFreeRatio", str(SPARE))
+    jvm.System.gc()
+    _after[jvm] = runtime.totalMemory()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again.
 
@@ -51,6 +77,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    tidied(spark)
     return out
 
 

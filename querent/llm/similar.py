@@ -220,6 +220,11 @@ def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words: int,
     return written(texts(joined, "u", "v", "x", "y").mapInArrow(lean(_alike(least)), "u long, v long"), f"{label}-links")
 
 
+def _stars(part: DataFrame) -> DataFrame:
+    """The links (u, v) that tell the components of part (node, component), one a node."""
+    return part.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
     """Of the pairs (u, v) those in different components of part (node, component)."""
     one, two = (part.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("u", "c_u"), ("v", "c_v")))
@@ -252,8 +257,8 @@ def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST, budge
         centre = left.groupBy("key").agg(F.min(order).alias("low")).select("key", F.col("low.node").alias("centre"), F.col("low.at").alias("at_centre"))
         stars = left.join(centre, "key").where("centre <> node").where(_reach("at_centre", "at", least))
         stars = written(_apart(stars.select(F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v")).distinct(), part), "stars")
-        links = links.unionByName(_verified(stars, prints, rows, words, least, "star"))
-        part = written(components(links), "star-parts")
+        links = _verified(stars, prints, rows, words, least, "star")
+        part = written(components(_stars(part).unionByName(links)), "star-parts")
         tried = stars if tried is None else tried.unionByName(stars)
         placed = left.join(part, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("part"))
         open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
@@ -267,8 +272,8 @@ def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST, budge
     sizes = F.shiftright("at_u", 32) + F.shiftright("at_v", 32)
     near = (F.col("part_u") != F.col("part_v")) & (F.col("u") < F.col("v")) & _reach("at_u", "at_v", least) & (apart <= sizes * ((1 - least) / (1 + least)) + 1e-6)
     across = one.join(two.withColumnRenamed("key", "key_v"), (F.col("key") == F.col("key_v")) & near).select("u", "v")
-    links = links.unionByName(_verified(across.join(tried, ["u", "v"], "left_anti"), prints, rows, words, least, "across"))
+    links = _verified(across.join(tried, ["u", "v"], "left_anti"), prints, rows, words, least, "across")
     released(left, known)
-    joined = components(links)
+    joined = components(_stars(part).unionByName(links))
     named = distinct.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("root"))
     return prints.select("row", "digest").join(named, "digest").select("row", "root")
