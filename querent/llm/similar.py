@@ -15,8 +15,9 @@ Pairs are verified in rounds, so that a large group isn't paired out:
 first those whose SimHash fingerprints lie within a few bits (a fingerprint's
 sets with its least one, and what the trie join links), then CENTRES times each
 key's rows with one of them, chosen by hash, then, under keys whose rows are not
-yet all connected, the pairs across components. A round verifies only pairs that the
-rounds before left in different components. Before whole sets are compared,
+yet all connected, the pairs across components: of each row those with the LEADING
+rows that are in most pairs, which join up most of a group, and at last all others.
+A round verifies only pairs that the rounds before left in different components. Before whole sets are compared,
 pairs go that cannot reach s by their bins: a set's hashes are counted in about
 half as many bins as it has, and the sum of the lesser counts is at least the
 overlap. Bins are a fourteenth of a set's size and spare most of the pairs. The
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.llm.components import components
@@ -55,6 +56,8 @@ ODD = [f"odd_{i}" for i in range(4)]
 _SETS = "node long, shingles binary"
 #: Rounds in which the rows of a key are compared with one of them.
 CENTRES = 1
+#: Pairs of each row that are verified before the others across components.
+LEADING = 4
 #: Shingles of a batch that goes back at once.
 HELD = 1 << 16
 
@@ -232,6 +235,15 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
     return found.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
 
 
+def _leading(pairs: DataFrame) -> DataFrame:
+    """Of the distinct pairs (u, v) those of each row with the LEADING of its partners that are in most pairs."""
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = both.groupBy("v").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), "v"))
+    found = both.join(degree, "v").withColumn("place", place).where(F.col("place") <= LEADING)
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST, budget: int = BUDGET) -> DataFrame:
     """row and root (a row of its group) for every row; rows has row (distinct longs) and text."""
     common, rank = _order(rows, words)
@@ -272,8 +284,12 @@ def near_copies(rows: DataFrame, words: int = WORDS, least: float = LEAST, budge
     sizes = F.shiftright("at_u", 32) + F.shiftright("at_v", 32)
     near = (F.col("part_u") != F.col("part_v")) & (F.col("u") < F.col("v")) & _reach("at_u", "at_v", least) & (apart <= sizes * ((1 - least) / (1 + least)) + 1e-6)
     across = one.join(two.withColumnRenamed("key", "key_v"), (F.col("key") == F.col("key_v")) & near).select("u", "v")
-    links = _verified(across.join(tried, ["u", "v"], "left_anti"), prints, rows, words, least, "across")
+    across = written(across.join(tried, ["u", "v"], "left_anti").distinct(), "across")
     released(left, known)
+    first = written(_leading(across), "leading")
+    links = _verified(first, prints, rows, words, least, "leading")
+    part = written(components(_stars(part).unionByName(links)), "leading-parts")
+    links = _verified(_apart(across.join(first, ["u", "v"], "left_anti"), part), prints, rows, words, least, "across")
     joined = components(_stars(part).unionByName(links))
     named = distinct.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("root"))
     return prints.select("row", "digest").join(named, "digest").select("row", "root")
