@@ -238,9 +238,9 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
 def _leading(pairs: DataFrame) -> DataFrame:
     """Of the distinct pairs (u, v) those of each row with the LEADING of its partners that are in most pairs."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.groupBy("v").agg(F.count("*").alias("n"))
+    degree = F.count("*").over(Window.partitionBy("v"))
     place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), "v"))
-    found = both.join(degree, "v").withColumn("place", place).where(F.col("place") <= LEADING)
+    found = both.withColumn("n", degree).withColumn("place", place).where(F.col("place") <= LEADING)
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
